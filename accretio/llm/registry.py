@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import line_dedup
 from .packing import op3_packing
 from .token_counts import op2_token_counts
 from .tokens import op7_bpe
@@ -9,7 +10,10 @@ from .tokens import op7_bpe
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op7_bpe": op7_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": line_dedup.ORACLE_SQL,
+}
