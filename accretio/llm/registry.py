@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, quality_rules
 from .packing import op3_packing
 from .token_counts import op2_token_counts
 from .tokens import op7_bpe
@@ -11,9 +11,11 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_bpe": op7_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE_SQL,
+    "op6_quality_rules": quality_rules.ORACLE_SQL,
 }
