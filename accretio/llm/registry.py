@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality_rules
+from . import line_dedup, pii, quality_rules
 from .packing import op3_packing
 from .token_counts import op2_token_counts
 from .tokens import op7_bpe
@@ -13,6 +13,7 @@ QUERIES = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_bpe": op7_bpe,
+    "op9_pii": pii.op9_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -15,7 +15,7 @@ from .common import per_batch, table, written
 from .lengths import ids_of
 
 #: Lengths whose sums one task makes; a second, smaller step adds up the blocks.
-BLOCK = 4096
+BLOCK = 64
 
 
 def with_length(docs: DataFrame, vocabulary: str | None = None, text: str = "text") -> DataFrame:
