@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import line_dedup, pii, quality_rules
 from .packing import op3_packing
+from .quality_classifier import op10_quality_classifier
 from .token_counts import op2_token_counts
 from .tokens import op7_bpe
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_bpe": op7_bpe,
     "op9_pii": pii.op9_pii,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {
