@@ -7,11 +7,13 @@ from .packing import op3_packing
 from .quality_classifier import op10_quality_classifier
 from .token_counts import op2_token_counts
 from .tokens import op7_bpe
+from .url_filters import op5_url_filters
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_url_filters": op5_url_filters,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_bpe": op7_bpe,
     "op9_pii": pii.op9_pii,
