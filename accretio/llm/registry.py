@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import line_dedup, pii, quality_rules
+from .minhash_dedup import op8_minhash_dedup
 from .packing import op3_packing
 from .quality_classifier import op10_quality_classifier
 from .token_counts import op2_token_counts
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_url_filters": op5_url_filters,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_bpe": op7_bpe,
+    "op8_minhash_dedup": op8_minhash_dedup,
     "op9_pii": pii.op9_pii,
     "op10_quality_classifier": op10_quality_classifier,
 }
