@@ -140,13 +140,13 @@ def _compared(similarity: float):
     def run(key, probes: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
         out: set[tuple[int, int]] = set()
         if len(probes) and len(base):
-            sets = [np.frombuffer(x, "<u8") for x in base["items"]]
-            nodes, comps = base["node"].to_numpy(), base["comp"].to_numpy()
+            sets = [np.frombuffer(x, "<u8") for x in base["b_items"]]
+            nodes, comps = base["b_node"].to_numpy(), base["b_comp"].to_numpy()
             sizes = np.array([len(x) for x in sets])
             flat = np.concatenate(sets)
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], np.repeat(np.arange(len(sets)), sizes)[order]
-            for node, comp, blob in zip(probes["node"], probes["comp"], probes["items"]):
+            for node, comp, blob in zip(probes["p_node"], probes["p_comp"], probes["p_items"]):
                 own = np.frombuffer(blob, "<u8")
                 left, right = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
                 n = right - left
@@ -167,10 +167,17 @@ def _between(clustered: DataFrame, items: DataFrame, similarity: float) -> DataF
     per = per.select("cluster", F.col("most.comp").alias("main"), F.ceil(F.col("all") / BLOCK).alias("base_blocks"), F.ceil((F.col("all") - F.col("most.n")) / BLOCK).alias("probe_blocks"))
     rows = clustered.join(per, "cluster").join(items, "node")
     block = F.xxhash64("node")
-    probes = rows.where(F.col("comp") != F.col("main")).select("cluster", "node", "comp", "items", F.pmod(block, F.col("probe_blocks")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("base_blocks") - 1)).alias("j"))
-    base = rows.where(F.col("probe_blocks") > 0).select("cluster", "node", "comp", "items", F.explode(F.sequence(F.lit(0).cast("long"), F.col("probe_blocks") - 1)).alias("i"), F.pmod(block, F.col("base_blocks")).alias("j"))
-    grid = ["cluster", "i", "j"]
-    return probes.groupBy(*grid).cogroup(base.groupBy(*grid)).applyInPandas(_compared(similarity), "a long, b long")
+
+
+    def numbers(blocks: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+
+    own = [F.col(c).alias(f"p_{c}") for c in ("cluster", "node", "comp", "items")]
+    probes = rows.where(F.col("comp") != F.col("main")).select(*own, F.pmod(block, F.col("probe_blocks")).alias("p_i"), numbers("base_blocks").alias("p_j"))
+    own = [F.col(c).alias(f"b_{c}") for c in ("cluster", "node", "comp", "items")]
+    base = rows.where(F.col("probe_blocks") > 0).select(*own, numbers("probe_blocks").alias("b_i"), F.pmod(block, F.col("base_blocks")).alias("b_j"))
+    sides = probes.groupBy("p_cluster", "p_i", "p_j").cogroup(base.groupBy("b_cluster", "b_i", "b_j"))
+    return sides.applyInPandas(_compared(similarity), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
