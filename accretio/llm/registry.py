@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, pii, quality_rules
+from . import bm25, line_dedup, pii, quality_rules
 from .minhash_dedup import op8_minhash_dedup
 from .packing import op3_packing
 from .quality_classifier import op10_quality_classifier
@@ -11,6 +11,7 @@ from .tokens import op7_bpe
 from .url_filters import op5_url_filters
 
 QUERIES = {
+    "op1_bm25": bm25.op1_bm25,
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
     "op4_line_dedup": line_dedup.op4_line_dedup,
@@ -23,6 +24,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_bm25": bm25.ORACLE_SQL,
     "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op6_quality_rules": quality_rules.ORACLE_SQL,
 }
