@@ -141,7 +141,10 @@ def judged(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     base = base_rules()[0].rejects | base_rules()[1].rejects
     added = ["base_failed", "kept", "rejected_by"]
     stats = with_statistics(docs.drop(*[c for c in added if c in docs.columns]))
-    return stats.withColumn("base_failed", base).withColumn("rejected_by", named).withColumn("kept", F.col("rejected_by").isNull())
+    rows = stats.withColumn("base_failed", base).withColumn("rejected_by", named).withColumn("kept", F.col("rejected_by").isNull())
+    # Counting here also keeps a later filter on ``kept`` above the statistics:
+    # pushed below, it would take them apart and make each anew for every use.
+    return rows.observe("quality_rules", F.count("*").alias("judged"), F.count_if("kept").alias("kept"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
