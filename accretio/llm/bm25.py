@@ -110,20 +110,29 @@ def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _searched(asked, k: int, mean_length: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, ends, terms, weights = asked.value
+        queries = [(terms[ends[q] : ends[q + 1]], weights[ends[q] : ends[q + 1]]) for q in range(len(ids))]
         least = np.zeros(len(ids))
+        best = [(np.empty(0, np.int64), np.empty(0))] * len(ids)
         for batch in batches:
             for blob in batch.column("shard"):
-                shard = Shard.from_bytes(blob.as_buffer()).ready(mean_length)
-                queries, found, scores = [], [], []
-                for q in range(len(ids)):
-                    own = slice(ends[q], ends[q + 1])
-                    docs, best = shard.search(terms[own], weights[own], k, least[q])
-                    if len(best) == k:
-                        least[q] = max(least[q], best[-1])
-                    queries.append(np.full(len(docs), ids[q]))
-                    found.append(docs)
-                    scores.append(best)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (queries, found, scores)], ["query", "doc", "score"])
+                found = Shard.from_bytes(blob.as_buffer()).ready(mean_length).search(queries, k, least)
+                for q, (docs, scores) in enumerate(found):
+                    docs, scores = np.append(best[q][0], docs), np.append(best[q][1], scores)
+                    top = np.lexsort((docs, -scores))[:k]
+                    best[q] = docs[top], scores[top]
+                    if len(top) == k:
+                        least[q] = scores[top[-1]]
+        # one list a query and task, however many shards the task had
+        for i in range(0, len(ids), 1024):
+            part = best[i : i + 1024]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(ids[i : i + 1024], [len(d) for d, _ in part])),
+                    pa.array(np.concatenate([d for d, _ in part])),
+                    pa.array(np.concatenate([s for _, s in part])),
+                ],
+                ["query", "doc", "score"],
+            )
 
     return run
 

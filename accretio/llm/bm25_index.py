@@ -2,23 +2,30 @@
 
 Documents of a shard are numbered; BLOCK neighbouring numbers are a block. Each
 term's postings (document, frequency) are sorted by document, and for every block
-the term occurs in, the index holds where its postings start and the largest
-frequency part of a score in it.
+the term occurs in, the index holds the largest frequency part of a score in it.
 
 Search is block-max WAND over documents in blocks: the sum of the query terms'
-maxima in a block bounds every score in it, so blocks are taken by falling bound,
-scored in full for the terms that occur, and given up once the bound can't reach
-the k-th best score so far, here or in a shard searched before. Ties on that
-bound are still scored, so that ties by id come out exactly.
+maxima in a block bounds every score in it, and blocks whose bound can't reach
+the k-th best score so far, here or in a shard searched before, aren't scored.
+Where few blocks are left they are scored posting by posting. Where most are, as
+when queries are whole documents, the block's scores come from a matrix product
+over the shard's most frequent terms, for several queries at once, plus the
+postings of the rarer terms. Either way these scores only choose candidates,
+with a margin for rounding; the candidates' scores are then summed exactly, so
+that they don't depend on shards, blocks or the way taken, and ties are ties.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 
 BLOCK = 64
+#: Terms of a shard in the matrix, at most; queries of more terms than LONG_QUERY
+#: go to it unseen; queries multiplied at once; relative room for rounding.
+FREQUENT, LONG_QUERY, TOGETHER, MARGIN = 768, 64, 64, 1e-4
 K1, B = 1.2, 0.75
 
 
@@ -40,6 +47,11 @@ class Shard:
     heads: np.ndarray | None = None
     maxima: np.ndarray | None = None
     parts: np.ndarray | None = None
+    row: np.ndarray | None = None
+    dense: np.ndarray | None = None
+    forward: np.ndarray | None = None
+    own: np.ndarray | None = None
+    term: np.ndarray | None = None
 
     @staticmethod
     def build(ids: list[int], counted: list[tuple[np.ndarray, np.ndarray]]) -> Shard:
@@ -58,69 +70,134 @@ class Shard:
         return np.diff(self.starts)
 
     def ready(self, mean_length: float) -> Shard:
-        """Make the block tables, for the mean length over all shards."""
+        """Make the block tables and the frequent terms' matrix, for the mean length over all shards."""
         if not len(self.terms):
             return self
         self.parts = frequency_part(self.tfs.astype(float), self.lengths[self.docs].astype(float), mean_length)
         block = self.docs // BLOCK
-        term = np.repeat(np.arange(len(self.terms)), np.diff(self.starts))
+        df = np.diff(self.starts)
+        term = np.repeat(np.arange(len(self.terms)), df)
         new = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (term[1:] != term[:-1])]))
         self.heads = np.append(new, len(block))
         self.blocks = block[new]
         self.maxima = np.maximum.reduceat(self.parts, new)
         self.lows = np.searchsorted(term[new], np.arange(len(self.terms) + 1))
+        frequent = np.argsort(-df, kind="stable")[:FREQUENT]
+        frequent = frequent[df[frequent] >= len(self.ids) / 64]
+        self.row = np.full(len(self.terms), -1)
+        self.row[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), len(self.ids)), np.float32)
+        held = self.row[term] >= 0
+        self.dense[self.row[term[held]], self.docs[held]] = self.parts[held]
+        self.forward = np.argsort(self.docs, kind="stable")  # postings by document, terms in order
+        self.own = np.concatenate([[0], np.cumsum(np.bincount(self.docs, minlength=len(self.ids)))])
+        self.term = term.astype(np.int32)
         return self
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """The k best (ids, scores) of documents that hold a query term, best first, then least id.
-
-        least: a score that k documents of other shards reach; lower ones may be left out.
-        """
-        none = np.empty(0, np.int64), np.empty(0)
-        if not len(self.terms) or not len(terms):
-            return none
-        at = np.searchsorted(self.terms, terms)
-        at[at == len(self.terms)] = 0
-        here = self.terms[at] == terms
-        at, weights = at[here], weights[here]
-        if not len(at):
-            return none
-        low, high = self.lows[at], self.lows[at + 1]
+    def _exact(self, at: np.ndarray, weights: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Correctly rounded scores of documents; ``at`` is sorted."""
+        out = np.zeros(len(numbers))
+        for i, number in enumerate(numbers.tolist()):
+            postings = self.forward[self.own[number] : self.own[number + 1]]
+            terms = self.term[postings]
+            place = np.searchsorted(at, terms)
+            place[place == len(at)] = 0
+            hit = at[place] == terms
+            out[i] = math.fsum((self.parts[postings[hit]] * weights[place[hit]]).tolist())
+        return out
+
+    def _ranges(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = high - low
-        entry = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        weight = np.repeat(weights, n)
-        block = self.blocks[entry]
-        # bounds get a hair's breadth for sums taken in another order
-        bounds = np.bincount(block, self.maxima[entry] * weight, minlength=-(-len(self.ids) // BLOCK)) * (1 + 1e-9)
+        return np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()), n
+
+    def _best(self, approximate: np.ndarray, numbers: np.ndarray, at, weights, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        floor = max(least, np.partition(approximate, -k)[-k] if len(approximate) >= k else 0.0)
+        some = (approximate >= floor * (1 - MARGIN)) & (approximate > 0)
+        numbers = numbers[some]
+        scores = self._exact(at, weights, numbers)
+        ids = self.ids[numbers]
+        top = np.lexsort((ids, -scores))[:k]
+        return ids[top], scores[top]
+
+    def _by_blocks(self, at, weights, bounds, block, entry, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Blocks by falling bound, until the bound can't reach the k-th score."""
+        weight = np.repeat(weights, self.lows[at + 1] - self.lows[at])
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
         by_block = np.argsort(block, kind="stable")
         edges = np.searchsorted(block[by_block], np.arange(len(bounds) + 1))
-        best_ids, best, taken, step = *none, 0, 4
+        best_ids, best, taken, step = np.empty(0, np.int64), np.empty(0), 0, 4
         while taken < len(order):
             some = order[taken : taken + step]
             some = some[bounds[some] >= least]
             if not len(some):
                 break
             taken, step = taken + step, min(2 * step, 64)
-            picked = np.sort(np.concatenate([by_block[edges[b] : edges[b + 1]] for b in some]))  # terms in query order
+            picked = np.concatenate([by_block[edges[b] : edges[b + 1]] for b in some])
             e = entry[picked]
-            size = self.heads[e + 1] - self.heads[e]
-            posting = np.repeat(self.heads[e] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            posting, size = self._ranges(self.heads[e], self.heads[e + 1])
             doc = self.docs[posting]
             slot = np.full(len(bounds), -1)
             slot[some] = np.arange(len(some))
-            local = slot[doc // BLOCK] * BLOCK + doc % BLOCK
-            gained = np.bincount(local, self.parts[posting] * np.repeat(weight[picked], size), minlength=len(some) * BLOCK)
+            gained = np.bincount(slot[doc // BLOCK] * BLOCK + doc % BLOCK, self.parts[posting] * np.repeat(weight[picked], size), minlength=len(some) * BLOCK)
             hit = np.flatnonzero(gained > 0)
-            number = some[hit // BLOCK] * BLOCK + hit % BLOCK
-            best_ids, best = np.append(best_ids, self.ids[number]), np.append(best, gained[hit])
+            ids, scores = self._best(gained[hit], some[hit // BLOCK] * BLOCK + hit % BLOCK, at, weights, k, least)
+            best_ids, best = np.append(best_ids, ids), np.append(best, scores)
             top = np.lexsort((best_ids, -best))[:k]
             best_ids, best = best_ids[top], best[top]
             if len(best) == k:
                 least = max(least, best[-1])
         return best_ids, best
 
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, least: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms, weights): the k best (ids, scores) with a query term, best first, then least id.
+
+        least: for each query a score that k documents of other shards reach;
+        lower ones may be left out.
+        """
+        out: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(queries)
+        if not len(self.terms):
+            return out
+        whole, found = [], {}
+        for q, (terms, weights) in enumerate(queries):
+            order = np.argsort(terms)
+            terms, weights = terms[order], weights[order]
+            at = np.searchsorted(self.terms, terms)
+            at[at == len(self.terms)] = 0
+            here = self.terms[at] == terms
+            at, weights = at[here], weights[here]
+            if not len(at):
+                continue
+            found[q] = (at, weights)
+            if len(at) > LONG_QUERY:
+                # a bound for the whole shard: no block can exceed it, and long queries' blocks rarely fall below
+                whole.append(q)
+                continue
+            entry, n = self._ranges(self.lows[at], self.lows[at + 1])
+            block = self.blocks[entry]
+            # bounds get a hair's breadth for sums taken in another order
+            bounds = np.bincount(block, self.maxima[entry] * np.repeat(weights, n), minlength=-(-len(self.ids) // BLOCK)) * (1 + 1e-9)
+            if np.count_nonzero(bounds >= max(least[q], 1e-300)) * 4 > 3 * len(bounds) and len(at) > LONG_QUERY // 4:
+                whole.append(q)
+            else:
+                out[q] = self._by_blocks(at, weights, bounds, block, entry, k, least[q])
+        everyone = np.arange(len(self.ids))
+        for i in range(0, len(whole), TOGETHER):
+            some = whole[i : i + TOGETHER]
+            asked = np.zeros((len(some), len(self.dense)), np.float32)
+            for j, q in enumerate(some):
+                at, weights = found[q]
+                held = self.row[at] >= 0
+                asked[j, self.row[at[held]]] = weights[held]
+            frequent = asked @ self.dense
+            for j, q in enumerate(some):
+                at, weights = found[q]
+                rare = self.row[at] < 0
+                posting, n = self._ranges(self.starts[at[rare]], self.starts[at[rare] + 1])
+                scores = frequent[j] + np.bincount(self.docs[posting], self.parts[posting] * np.repeat(weights[rare], n), minlength=len(self.ids))
+                out[q] = self._best(scores, everyone, at, weights, k, least[q])
+        return out
+
     def to_bytes(self) -> bytes:
         head = np.array([len(self.ids), len(self.terms), len(self.docs)], "<i8")
         arrays = (self.ids, self.lengths, self.terms, self.starts.astype("<i8"), self.docs.astype("<i4"), self.tfs.astype("<u2"))
