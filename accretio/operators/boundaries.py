@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import rounded
+from ..schemas import in_ranges
 
 _OPS = {">=": operator.ge, "<=": operator.le, ">": operator.gt, "<": operator.lt, "==": operator.eq, "!=": operator.ne}
 
@@ -25,8 +26,7 @@ def prefix_sum(rows: DataFrame, value: Column, out: str, by: list[str], order: s
     Ranges of the order are summed each in its own task, then shifted by what
     comes before: a row for each group and range.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.withColumn("__v", value.cast("long")).repartitionByRange(n, order).withColumn("__part", F.spark_partition_id())
+    ranged = in_ranges(rows.withColumn("__v", value.cast("long")), order, "__part")
     own = Window.partitionBy("__part", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     sums = ranged.groupBy(*by, "__part").agg(F.sum("__v").alias("__t"))
     earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import in_kind, observer_matches
 from ..functions.values import rounded
-from ..schemas import RESERVED, field, visible
+from ..schemas import RESERVED, field, in_ranges, visible
 
 
 def at(facts: DataFrame, seq: int) -> DataFrame:
@@ -192,8 +192,7 @@ def tick_floor(facts: DataFrame, ticks: DataFrame, marks: DataFrame) -> DataFram
     both = good.select("ts", F.lit(0).alias("side"), F.struct("tick_seq", "name", "ts").alias("tick"), F.lit(None).cast("long").alias("mark")).unionByName(
         marks.select("ts", F.lit(1).alias("side"), F.lit(None).cast("struct<tick_seq:bigint,name:string,ts:double>").alias("tick"), F.col("mark").cast("long").alias("mark"))
     )
-    n = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = both.repartitionByRange(n, "ts", "side").withColumn("part", F.spark_partition_id())
+    ranged = in_ranges(both, "ts", "part")
     order = [F.col("ts"), F.col("side"), F.col("tick.tick_seq")]
     own = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     last = ranged.groupBy("part").agg(F.max(F.when(F.col("side") == 0, F.struct("ts", "tick.tick_seq", "tick"))).alias("m"))

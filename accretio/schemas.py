@@ -9,6 +9,7 @@ the JSON otherwise.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,20 +48,34 @@ def facts_of_events(events: DataFrame) -> DataFrame:
     )
 
 
-def with_receipt(rows: DataFrame, order: list[str | Column], after: int = 0) -> DataFrame:
-    """Rows with a dense ``seq`` from ``after`` + 1 on, in the given order.
+def in_ranges(rows: DataFrame, key: str, out: str) -> DataFrame:
+    """``rows`` with the number of the range of ``key`` they are in; nulls come first.
+
+    As many ranges as there are shuffle partitions, of about equal rows. Where
+    ranges end is settled once, from approximate quantiles, so that every use of
+    the result deals rows alike; equal keys share a range.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbers = rows.select(F.col(key).cast("double").alias("__key")).where(F.col("__key").isNotNull())
+    ends = numbers.approxQuantile("__key", [i / n for i in range(1, n)], 1 / (8 * n)) if n > 1 else []
+    splits = [-float("inf"), *sorted(set(ends)), float("inf")]
+    numbered = rows.withColumn("__key", F.coalesce(F.col(key).cast("double"), F.lit(-float("inf"))))
+    placed = Bucketizer(splits=splits, inputCol="__key", outputCol="__range").transform(numbered)
+    return placed.withColumn(out, F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.col("__range").cast("int"))).drop("__key", "__range")
+
+
+def with_receipt(rows: DataFrame, order: list[str], after: int = 0) -> DataFrame:
+    """Rows with a dense ``seq`` from ``after`` + 1 on, in the given order; its first column is a number.
 
     Ranges of the order are numbered each in its own task; only one row per range
     is needed to know where each begins, so nothing is sorted in one place.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id())
-    own = Window.partitionBy("__part").orderBy(*keys)
+    ranged = in_ranges(rows, order[0], "__part")
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    numbered = ranged.withColumn("__rank", F.row_number().over(own)).join(F.broadcast(before), "__part")
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    numbered = ranged.withColumn("__rank", rank).join(F.broadcast(before), "__part")  # one row a range
     return numbered.withColumn("seq", (F.col("__before") + F.col("__rank") + after).cast("long")).drop("__part", "__rank", "__before")
 
 
