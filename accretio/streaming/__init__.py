@@ -1,0 +1 @@
+"""Live logs: boundaries and folds over streams of facts."""
