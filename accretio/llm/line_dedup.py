@@ -130,7 +130,7 @@ class LineIndex:
         return LineIndex(held, counts, written(filters, "filters"), self.shards, self.min_docs)
 
     def repeated(self, held: DataFrame) -> DataFrame:
-        """(doc, drop): for each document that loses lines, the digests of their keys."""
+        """(doc, __drop): for each document that loses lines, the digests of their keys."""
         spark = held.sparkSession
         size = self.filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
         maybe = held
@@ -139,7 +139,7 @@ class LineIndex:
             maybe = held.mapInArrow(_probe(blobs, self.shards), held.schema)
         exact = self.counts.where(F.col("refs") >= self.min_docs)
         lost = maybe.join(exact, ["h1", "h2"]).where(F.col("doc") != F.col("keeper"))
-        return lost.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
+        return lost.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("__drop"))
 
     def cleaned(self, docs: DataFrame, held: DataFrame | None = None) -> DataFrame:
         """``docs`` with lines dropped, and n_lines, n_dropped and kept_sha256.
@@ -150,7 +150,7 @@ class LineIndex:
         added = ["n_lines", "n_dropped", "kept_sha256"]
         kept = [c for c in docs.columns if c not in added]
         rows = docs.select(*kept, id_or_null_id().alias("__doc")).join(drops.withColumnRenamed("doc", "__doc"), "__doc", "left")
-        rows = rows.select(*kept, F.col("drop").alias("__drop"))
+        rows = rows.select(*kept, "__drop")
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__drop"), "n_lines long", "n_dropped long", "kept_sha256 string"])
         return rows.mapInArrow(per_batch(_cleaned), schema)
 

@@ -6,7 +6,8 @@ and a document that one rejects isn't shown to the next. The order changes only
 how long it takes: a document is kept if no rule rejects it.
 
 A null text counts as empty and has no words, so the least-words rule rejects
-it. Repeated rows are judged each. Statistics replace columns of their names.
+it. Repeated rows are judged each. Statistics replace columns of their
+names, and columns whose names begin with two underscores are left out.
 """
 
 from __future__ import annotations
