@@ -29,26 +29,37 @@ LONG = 100_000
 _SETTLED = regex.compile(r"[\x00-՗ऀ-ॣ‐-⁯₠-₿←-⏿─-➿　-ヿ一-龥가-힣]*+")
 
 
-@lru_cache(maxsize=2)
-def ids_of(path: str | None = None) -> Callable[[str], np.ndarray]:
-    """A function from a text to its ids, without special tokens being added."""
-    path = path or public_tokenizers.path(VOCABULARY)
+@lru_cache(maxsize=1)
+def _library(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(path)
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=1)
+def _slow(path: str, special: tuple[str, int] | None) -> Encoder:
+    return Encoder(path, special)
+
+
+@lru_cache(maxsize=1)
+def ids_of(path: str | None = None) -> Callable[[str], np.ndarray]:
+    """A function from a text to its ids, without special tokens being added.
+
+    The two other ways are only loaded where a text needs them: a worker's memory
+    otherwise holds three copies of the vocabulary.
+    """
+    path = path or public_tokenizers.path(VOCABULARY)
     with open(path, encoding="utf-8") as f:
         special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
-    ranks = read_ranks(path)
-    fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    slow = Encoder(path, next(iter(special.items()), None))
+    fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens=special)
     names = set(special)
 
     def ids(text: str) -> np.ndarray:
         if not text.isascii() and _SETTLED.match(text).end() < len(text):
-            return np.array(library.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.array(_library(path).encode(text, add_special_tokens=False).ids, np.uint32)
         if len(text) > LONG and len(special) < 2 and max(map(len, _FULL.findall(text))) > 1000:
-            return np.frombuffer(slow.packed_ids(text), "<u4")
+            return np.frombuffer(_slow(path, next(iter(special.items()), None)).packed_ids(text), "<u4")
         return fast.encode_to_numpy(text, allowed_special=names)
 
     return ids
