@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import reference_list
 from ..functions.values import is_rejected, key_text, member, number, parsed, tokens
-from ..schemas import field
+from ..schemas import field, typed
 
 
 @dataclass(frozen=True)
@@ -103,7 +103,7 @@ class Spec:
 
 def _number(facts: DataFrame, name: str) -> tuple[Column, Column]:
     """The numeric value, and whether it is to be counted as rejected."""
-    if name in facts.columns:
+    if typed(facts, name):
         kind = dict(facts.dtypes)[name]
         if kind in ("string", "boolean"):
             return F.lit(None).cast("double"), F.col(name).isNotNull()
@@ -180,7 +180,7 @@ def tail(facts: DataFrame, fold: Tail, by: list[str] = ("kind",)) -> DataFrame:
 
 
 def _key(facts: DataFrame, name: str) -> Column:
-    if name in facts.columns:
+    if typed(facts, name):
         return F.col(name).cast("string")
     return key_text(member(parsed(F.col("payload")), name), F.element_at(tokens(F.col("payload")), name))
 

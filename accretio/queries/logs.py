@@ -72,11 +72,11 @@ def fold_window_last_n(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query("""SELECT kind, CAST(k AS VARCHAR) AS key, CAST(count(*) AS BIGINT) AS n, min(seq) AS first_seq, max(seq) AS last_seq,
-  arg_max(cents, seq) AS cents, arg_max(observer, seq) AS observer,
+  arg_max(cents, seq) AS cents, arg_max(observer, seq) AS who,
   arg_max(cents, seq) FILTER (WHERE cents % 3 = 0) AS some FROM {FACTS} f GROUP BY kind, k""")
 def fold_upsert_merge(spark: SparkSession, d: str) -> DataFrame:
-    rows = facts(spark, d).withColumn("some", F.when(F.col("cents") % 3 == 0, F.col("cents")))
-    return folds.upsert_fields(rows, Upsert("items", "k"), ["cents", "observer", "some"])
+    rows = facts(spark, d).withColumns({"some": F.when(F.col("cents") % 3 == 0, F.col("cents")), "who": F.col("observer")})
+    return folds.upsert_fields(rows, Upsert("items", "k"), ["cents", "who", "some"])
 
 
 def _open_schema(spark: SparkSession, d: str) -> DataFrame:

@@ -20,6 +20,8 @@ TICKS = (
 )
 FACT_COLUMNS = ["seq", "id", "kind", "ts", "observer", "origin", "payload"]
 RESERVED = "_decl."
+#: Columns of the fact itself; a payload member of such a name is read from the JSON.
+ENVELOPE = {"seq", "id", "kind", "ts", "observer", "origin", "payload", "signature"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,7 +83,12 @@ def with_receipt(rows: DataFrame, order: list[str], after: int = 0) -> DataFrame
 
 def field(facts: DataFrame, name: str) -> Column:
     """A payload field as text: the column of that name, else the JSON's value (null if absent)."""
-    return F.col(name) if name in facts.columns else F.get_json_object("payload", f"$.{name}")
+    return F.col(name) if typed(facts, name) else F.get_json_object("payload", f"$['{name}']")
+
+
+def typed(facts: DataFrame, name: str) -> bool:
+    """Whether a payload field has a typed column of its own."""
+    return name in facts.columns and name not in ENVELOPE
 
 
 def visible(facts: DataFrame) -> DataFrame:
