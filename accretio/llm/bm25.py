@@ -33,7 +33,7 @@ from .bm25_index import Shard
 from .common import NULL_ID, id_or_null_id, table, written
 
 #: Documents and characters a shard takes, about, and queries a block.
-SHARD_DOCS, SHARD_CHARS, QUERY_BLOCK = 8192, 24_000_000, 4096
+SHARD_DOCS, SHARD_CHARS, QUERY_BLOCK = 6144, 18_000_000, 4096
 _TERM = re.compile(r"[^\W_]+")
 _KNOWN = 200_000
 

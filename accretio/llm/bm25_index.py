@@ -76,7 +76,7 @@ class Shard:
         self.parts = frequency_part(self.tfs.astype(float), self.lengths[self.docs].astype(float), mean_length)
         block = self.docs // BLOCK
         df = np.diff(self.starts)
-        term = np.repeat(np.arange(len(self.terms)), df)
+        term = np.repeat(np.arange(len(self.terms), dtype=np.int32), df)
         new = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (term[1:] != term[:-1])]))
         self.heads = np.append(new, len(block))
         self.blocks = block[new]
@@ -87,11 +87,12 @@ class Shard:
         self.row = np.full(len(self.terms), -1)
         self.row[frequent] = np.arange(len(frequent))
         self.dense = np.zeros((len(frequent), len(self.ids)), np.float32)
-        held = self.row[term] >= 0
-        self.dense[self.row[term[held]], self.docs[held]] = self.parts[held]
-        self.forward = np.argsort(self.docs, kind="stable")  # postings by document, terms in order
+        for row, t in enumerate(frequent.tolist()):
+            own = slice(self.starts[t], self.starts[t + 1])
+            self.dense[row, self.docs[own]] = self.parts[own]
+        self.forward = np.argsort(self.docs, kind="stable").astype(np.int32)  # postings by document, terms in order
         self.own = np.concatenate([[0], np.cumsum(np.bincount(self.docs, minlength=len(self.ids)))])
-        self.term = term.astype(np.int32)
+        self.term = term
         return self
 
     def _exact(self, at: np.ndarray, weights: np.ndarray, numbers: np.ndarray) -> np.ndarray:
