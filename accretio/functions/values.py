@@ -50,3 +50,18 @@ def tokens(payload: str | Column) -> Column:
 def rounded(value: Column, digits: int = 1) -> Column:
     """Half to even."""
     return F.bround(value, digits)
+
+
+def spoken(payload: Column, name: str) -> Column:
+    """A member as text to search: a text itself; a list's texts, or the ``text`` of its
+    objects, joined by a space; anything else as JSON."""
+    one = member(parsed(payload), name)
+    kind = F.schema_of_variant(one)
+    items = F.transform(F.try_variant_get(one, "$", "array<variant>"), lambda x: F.coalesce(F.try_variant_get(x, "$.text", "string"), F.try_variant_get(x, "$", "string")))
+    return F.when(is_null(one), F.lit("")).when(F.startswith(kind, F.lit("ARRAY")), F.array_join(F.array_compact(items), " ")).when(kind == "STRING", F.try_variant_get(one, "$", "string")).otherwise(F.to_json(one))
+
+
+def payload_text(payload: Column) -> Column:
+    """All members that aren't empty, joined by a space, by name."""
+    entries = F.array_sort(F.map_entries(tokens(payload)))
+    return F.array_join(F.filter(F.transform(entries, lambda e: e["value"]), lambda v: v.isNotNull() & (v != "")), " ")

@@ -261,3 +261,63 @@ def fold_diff(before: DataFrame, after: DataFrame, on: list[str], values: list[s
     both = a.join(b, on, "full_outer").where(~F.col("before").eqNullSafe(F.col("after")))
     change = F.when(F.col("before").isNull(), F.lit("added")).when(F.col("after").isNull(), F.lit("removed")).otherwise(F.lit("changed"))
     return both.select(*on, change.alias("change"), *[F.col(f"before.{v}").alias(f"{v}_before") for v in values], *[F.col(f"after.{v}").alias(f"{v}_after") for v in values])
+
+
+def ticks_between(ticks: DataFrame, start: float | None = None, end: float | None = None, name: str | None = None, facts: DataFrame | None = None) -> DataFrame:
+    """Ticks of a time range and name; with facts, each with its cursor fact's place and a preview of it."""
+    test = F.lit(True)
+    if start is not None:
+        test = test & (F.col("ts") >= start)
+    if end is not None:
+        test = test & (F.col("ts") <= end)
+    if name is not None:
+        test = test & (F.col("name") == name)
+    rows = ticks.where(test)
+    if facts is None:
+        return rows
+    shown = facts.select(F.col("id").alias("fact_cursor"), F.col("seq").alias("cursor_seq"), preview().alias("preview"))
+    return rows.join(shown, "fact_cursor", "left")
+
+
+def preview(size: int = 80) -> Column:
+    """A fact in a line: its kind, and the first of message, topic, name and status."""
+    said = F.coalesce(*[F.get_json_object("payload", f"$.{m}") for m in ("message", "topic", "name", "status")], F.lit(""))
+    return F.substring(F.concat_ws(" ", "kind", F.when(said != "", said)), 1, size)
+
+
+def position(facts: DataFrame, ticks: DataFrame, address: str) -> DataFrame:
+    """(seq): the receipt position an address means.
+
+    head; seq:N, the N-th fact received; fact:PREFIX, the fact whose id begins so;
+    tick:ID, that tick's cursor; and a number, the cursor of the newest tick at or
+    before that time. No row if it means nothing.
+    """
+    what, _, rest = address.partition(":")
+    if address == "head":
+        return facts.agg(F.max("seq").alias("seq")).where(F.col("seq").isNotNull())
+    if what == "seq":
+        return receipt_ordinals(facts).where(F.col("ordinal") == int(rest)).select(F.col("position").alias("seq"))
+    if what == "fact":
+        return by_id(facts, rest).limit(1).select("seq")
+    places = facts.select(F.col("id").alias("fact_cursor"), "seq")
+    if what == "tick":
+        return ticks.where(F.col("id") == rest).join(places, "fact_cursor").select("seq")
+    floor = ticks.where(F.col("ts") <= float(address)).join(places, "fact_cursor")
+    return floor.agg(F.max_by("seq", F.struct("ts", "tick_seq")).alias("seq")).where(F.col("seq").isNotNull())
+
+
+def cut_summary(facts: DataFrame, upto: int) -> DataFrame:
+    """One row on a prefix: its facts, visible facts, kinds, last fact and last time."""
+    rows = at(facts, upto)
+    hidden = F.startswith("kind", F.lit(RESERVED))
+    return rows.agg(F.count("*").alias("facts"), F.count_if(~hidden).alias("visible"), F.count_distinct("kind").alias("kinds"), F.max_by("id", "seq").alias("last_id"), F.max("ts").alias("latest"))
+
+
+def resolved_references(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """``rows`` (kind, key, and more) with ``fact_id``: the fact last received of that entity, or null: deferred."""
+    return rows.join(resolve_entity(facts, key).withColumnRenamed("id", "fact_id"), ["kind", "key"], "left")
+
+
+def topology(members: DataFrame, observer: str) -> DataFrame:
+    """A ``_topology`` fact for each member vertex (name, path)."""
+    return members.select(F.lit("_topology").alias("kind"), F.lit(observer).alias("observer"), F.to_json(F.struct("name", "path")).alias("payload"))

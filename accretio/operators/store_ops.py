@@ -103,3 +103,25 @@ def interleaved(facts: DataFrame, ticks: DataFrame) -> DataFrame:
         anchored.select(F.lit("tick").alias("type"), "id", "place", F.lit(1).alias("rank"), F.col("tick_seq").alias("turn"))
     )
     return with_receipt(both, ["place", "rank", "turn"]).select(F.col("seq").alias("pos"), "type", "id")
+
+
+def appended(log: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
+    """New facts with the receipts after the log's last, in a given order; ids that the log has are left out.
+
+    The rows to write: the log itself isn't read again but for ids and its head.
+    """
+    last = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("m")).first()["m"]
+    return with_receipt(rows.join(log.select("id"), "id", "left_anti"), order, last)
+
+
+def push(facts: DataFrame, path: str, **clauses) -> None:
+    """A slice written where another store can fetch it."""
+    slice_store(facts, **clauses).write.mode("errorifexists").parquet(path)
+
+
+def pull(target: DataFrame | None, path: str) -> DataFrame:
+    """What another store pushed, received into this one."""
+    spark = target.sparkSession if target is not None else None
+    from pyspark.sql import SparkSession
+
+    return receive(target, (spark or SparkSession.active()).read.parquet(path))

@@ -399,3 +399,64 @@ SELECT CAST(seq AS BIGINT) AS seq, id, kind FROM b UNION ALL SELECT CAST(count(*
 def rebirth_filtered(spark: SparkSession, d: str) -> DataFrame:
     ticks = _ticks(spark, d).withColumn("payload", F.lit("{}"))
     return store_ops.rebirth(facts(spark, d), ticks, lambda rows: rows.where("kind <> 'error'")).select("seq", "id", "kind")
+
+
+# positions, previews, references ---------------------------------------------------
+@R.query("SELECT tick_seq, name, t.ts, fact_cursor, at_seq AS cursor_seq, f.kind AS preview FROM " + TICKS + " t JOIN {FACTS} f ON f.id = t.fact_cursor WHERE name = 'w1' AND t.ts >= (SELECT epoch(min(ts)) + 50000 FROM events)")
+def ticks_between(spark: SparkSession, d: str) -> DataFrame:
+    rows = facts(spark, d)
+    first = rows.agg(F.min("ts")).first()[0]
+    return reads.ticks_between(_ticks(spark, d), first + 50000, None, "w1", rows).select("tick_seq", "name", "ts", "fact_cursor", "cursor_seq", "preview")
+
+
+@R.query("""SELECT 'head' AS address, max(seq) AS seq FROM {FACTS} f UNION ALL SELECT 'seq:12', 11 UNION ALL SELECT 'fact:e0000003', 30 UNION ALL SELECT 'tick:t193', 193
+UNION ALL SELECT 'time', max(at_seq) FROM """ + TICKS + """ t WHERE ts <= (SELECT epoch(min(ts)) + 100000 FROM events) HAVING count(*) > 0""")
+def positions(spark: SparkSession, d: str) -> DataFrame:
+    """What head, seq:N, fact:PREFIX, tick:ID and a time mean."""
+    rows, ticks = facts(spark, d), _ticks(spark, d)
+    first = rows.agg(F.min("ts")).first()[0]
+    out = None
+    for name, address in (("head", "head"), ("seq:12", "seq:12"), ("fact:e0000003", "fact:e0000003"), ("tick:t193", "tick:t193"), ("time", str(first + 100000))):
+        one = reads.position(rows, ticks, address).select(F.lit(name).alias("address"), "seq")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@R.query("SELECT CAST(count(*) AS BIGINT) AS facts, CAST(count(*) FILTER (WHERE kind <> 'error') AS BIGINT) AS visible, CAST(count(DISTINCT kind) AS BIGINT) AS kinds, arg_max(id, seq) AS last_id, max(ts) AS latest FROM {FACTS} f WHERE seq <= 640")
+def cut_summary(spark: SparkSession, d: str) -> DataFrame:
+    return reads.cut_summary(_with_reserved(spark, d), 640)
+
+
+@R.query("""WITH e AS (SELECT kind, k, arg_max(id, seq) AS fact_id FROM {FACTS} f GROUP BY kind, k)
+SELECT o_orderkey, e.fact_id FROM orders LEFT JOIN e ON e.kind = 'view' AND e.k = o_custkey""")
+def reference_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """References of orders to entities by key; those that name none are deferred."""
+    o = table(spark, d, "orders").select("o_orderkey", F.lit("view").alias("kind"), F.col("o_custkey").cast("string").alias("key"))
+    return reads.resolved_references(o, facts(spark, d), "k").select("o_orderkey", "fact_id")
+
+
+@R.query("""SELECT id, CAST((SELECT max(seq) FROM events_a) + row_number() OVER (ORDER BY ts, id) AS BIGINT) AS seq FROM events_b""")
+def append_facts(spark: SparkSession, d: str) -> DataFrame:
+    """New facts take the receipts after the log's head; known ids are left out."""
+    return store_ops.appended(_store(spark, d, False), _store(spark, d, True).drop("seq"), ["ts", "id"]).select("id", "seq")
+
+
+ORACLE_SQL["append_facts"] = ORACLE_SQL["append_facts"].replace("events_a", ORACLE_SQL["fold_count"].split("FROM ", 1)[1].split(" f GROUP")[0] + " a WHERE seq % 2 = 0").replace(
+    "events_b", ORACLE_SQL["fold_count"].split("FROM ", 1)[1].split(" f GROUP")[0] + " b WHERE seq % 3 <> 0 AND seq % 2 <> 0"
+)
+
+
+@R.query("""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN role || ' x' WHEN 2 THEN role || ' y' ELSE CAST(turn AS VARCHAR) END AS said,
+  CASE turn % 4 WHEN 0 THEN text || ' ' || role ELSE role END AS whole FROM conversations""")
+def spoken_text(spark: SparkSession, d: str) -> DataFrame:
+    """Members that are text, lists of text, lists of objects with text, and numbers; and a payload's whole text."""
+    from ..functions.values import payload_text, spoken
+
+    c = table(spark, d, "conversations")
+    which = F.col("turn") % 4
+    quoted = F.expr("substring(to_json(struct(role)), 9, length(to_json(struct(role))) - 9)")
+    said = F.when(which == 0, F.expr("substring(to_json(struct(text)), 9, length(to_json(struct(text))) - 9)")).when(which == 1, F.concat(F.lit("["), quoted, F.lit(',"x"]')))
+    said = said.when(which == 2, F.concat(F.lit('[{"text":'), quoted, F.lit('},{"text":"y"}]'))).otherwise(F.col("turn").cast("string"))
+    payload = F.concat(F.lit('{"said":'), said, F.lit("}"))
+    whole = F.when(which == 0, F.to_json(F.struct(F.col("text").alias("a"), F.col("role").alias("b"), F.lit("").alias("c")))).otherwise(F.to_json(F.struct("role")))
+    return c.select("conv_id", "turn", spoken(payload, "said").alias("said"), payload_text(whole).alias("whole"))

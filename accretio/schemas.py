@@ -61,6 +61,8 @@ def in_ranges(rows: DataFrame, key: str, out: str) -> DataFrame:
     numbers = rows.select(F.col(key).cast("double").alias("__key")).where(F.col("__key").isNotNull())
     ends = numbers.approxQuantile("__key", [i / n for i in range(1, n)], 1 / (8 * n)) if n > 1 else []
     splits = [-float("inf"), *sorted(set(ends)), float("inf")]
+    if len(splits) < 3:
+        return rows.withColumn(out, F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.lit(0)))
     numbered = rows.withColumn("__key", F.coalesce(F.col(key).cast("double"), F.lit(-float("inf"))))
     placed = Bucketizer(splits=splits, inputCol="__key", outputCol="__range").transform(numbered)
     return placed.withColumn(out, F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.col("__range").cast("int"))).drop("__key", "__range")

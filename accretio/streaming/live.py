@@ -73,3 +73,15 @@ def tapped(stream: DataFrame, only=None, change: Callable[[DataFrame], DataFrame
     """A tap: facts that pass a test, as they are or changed."""
     rows = stream if only is None else stream.where(only)
     return change(rows) if change else rows
+
+
+def followed_log(spark, path: str) -> DataFrame:
+    """Complete lines of a growing folder of logs, as they come."""
+    return spark.readStream.text(path).withColumnRenamed("value", "text")
+
+
+def to_log(rows: DataFrame, path: str, checkpoint: str):
+    """Facts of a stream as lines of a log folder; the checkpoint makes each line appear once."""
+    from ..sources.records import fact_lines
+
+    return fact_lines(rows).writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
