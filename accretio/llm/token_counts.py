@@ -69,36 +69,29 @@ def answers(hist: DataFrame) -> DataFrame:
     )
 
 
-def truncated_totals(answered: DataFrame, limits: DataFrame) -> DataFrame:
-    """For each row of ``limits`` (column ``context``): tokens kept if texts are cut there.
+def truncated_totals(answered: DataFrame, contexts: list[int]) -> DataFrame:
+    """(context, truncated_total): tokens kept if every text is cut to the context's length.
 
-    The tokens within the longest length not beyond the limit, and the limit once
-    for each longer document. A null limit, or one below 0, keeps nothing.
+    The tokens within the longest length not beyond it, and the context once for
+    each longer document; one pass over the answers for all contexts. A context
+    below 0 counts as 0.
     """
-    at = limits.select("context").distinct()
-    below = (
-        at.join(answered, answered["length"] <= at["context"], "left")
-        .groupBy("context")
-        .agg(F.max(F.struct("length", "tokens_within", "docs_beyond")).alias("a"))
-    )
-    everything = answered.agg(F.max(F.col("docs_within")).alias("n_all"))
-    return limits.join(
-        below.join(everything, F.lit(True), "left").select(
-            "context",
-            F.when(F.coalesce(F.col("context"), F.lit(-1)) < 0, F.lit(0))
-            .otherwise(F.coalesce(F.col("a.tokens_within") + F.col("context") * F.col("a.docs_beyond"), F.col("context") * F.col("n_all"), F.lit(0)))
-            .alias("truncated_total"),
-        ),
-        "context",
-        "left",
-    )
+    within = F.struct("length", "tokens_within", "docs_beyond")
+    last = [F.max(F.when(F.col("length") <= c, within)).alias(f"c{i}") for i, c in enumerate(contexts)]
+    one = answered.agg(F.coalesce(F.max("docs_within"), F.lit(0)).alias("n_all"), *last)
+    rows = []
+    for i, c in enumerate(contexts):
+        cut = F.lit(max(c, 0)).cast("long")
+        total = F.coalesce(F.col(f"c{i}.tokens_within") + cut * F.col(f"c{i}.docs_beyond"), cut * F.col("n_all"))
+        rows.append(F.struct(F.lit(c).cast("long").alias("context"), total.alias("truncated_total")))
+    return one.select(F.inline(F.array(*rows)))
 
 
 def quantile_lengths(answered: DataFrame, shares: list[float]) -> DataFrame:
     """(share, length): the least length that at least this share of the documents doesn't exceed."""
-    spark = answered.sparkSession
-    asked = spark.createDataFrame([(float(s),) for s in shares], "share double")
-    return asked.join(answered, F.col("quantile") >= F.col("share")).groupBy("share").agg(F.min("length").alias("length"))
+    least = [F.min(F.when(F.col("quantile") >= s, F.col("length"))).alias(f"q{i}") for i, s in enumerate(shares)]
+    rows = [F.struct(F.lit(float(s)).alias("share"), F.col(f"q{i}").alias("length")) for i, s in enumerate(shares)]
+    return answered.agg(*least).select(F.inline(F.array(*rows)))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
