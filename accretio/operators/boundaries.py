@@ -42,14 +42,14 @@ def every(facts: DataFrame, n: int) -> DataFrame:
     """Facts of each full window of n facts of a kind, with its number ``window``; what isn't full yet is left out."""
     rows = _numbered(facts).withColumn("window", F.floor((F.col("number") - 1) / n))
     counts = rows.groupBy("kind").agg(F.max("number").alias("all"))
-    return rows.join(F.broadcast(counts), "kind").where((F.col("window") + 1) * n <= F.col("all")).drop("all")
+    return rows.join(counts, "kind").where((F.col("window") + 1) * n <= F.col("all")).drop("all")
 
 
 def after(facts: DataFrame, n: int) -> DataFrame:
     """The facts of the one window that closes with a kind's n-th fact; none for kinds with fewer."""
     rows = _numbered(facts)
     enough = rows.where(F.col("number") == n).select("kind")
-    return rows.where(F.col("number") <= n).join(F.broadcast(enough), "kind", "left_semi").withColumn("window", F.lit(0).cast("long"))
+    return rows.where(F.col("number") <= n).join(enough, "kind", "left_semi").withColumn("window", F.lit(0).cast("long"))
 
 
 def when(facts: DataFrame, closes: Column, by: list[str] = ()) -> DataFrame:
@@ -60,7 +60,7 @@ def when(facts: DataFrame, closes: Column, by: list[str] = ()) -> DataFrame:
     rows = prefix_sum(facts.withColumn("closes", F.coalesce(closes, F.lit(False))), F.col("closes").cast("long"), "__upto", list(by))
     rows = rows.withColumn("window", F.col("__upto") - F.col("closes").cast("long")).drop("__upto")
     ends = rows.groupBy(*by).agg(F.count_if("closes").alias("closed")) if by else rows.agg(F.count_if("closes").alias("closed"))
-    joined = rows.join(F.broadcast(ends), list(by)) if by else rows.crossJoin(F.broadcast(ends))  # one row
+    joined = rows.join(ends, list(by)) if by else rows.crossJoin(F.broadcast(ends))  # one row
     return joined.withColumn("open", F.col("window") >= F.col("closed")).drop("closed")
 
 
@@ -173,5 +173,5 @@ def tick_deltas(windows: DataFrame, key: str, by: list[str]) -> DataFrame:
 def horizon(facts: DataFrame, ticks: DataFrame, by: str = "kind") -> DataFrame:
     """For each group: facts strictly after its last tick, and when that was; never sealed groups count all."""
     last = ticks.groupBy(by).agg(F.max("at_seq").alias("sealed_seq"), F.max_by("ts", "at_seq").alias("sealed_ts"))
-    rows = facts.join(F.broadcast(last), by, "left").where(F.col("sealed_seq").isNull() | (F.col("seq") > F.col("sealed_seq")))
+    rows = facts.join(last, by, "left").where(F.col("sealed_seq").isNull() | (F.col("seq") > F.col("sealed_seq")))
     return rows.groupBy(by).agg(F.count("*").alias("open_facts"), F.max("sealed_seq").alias("sealed_seq"), F.min("ts").alias("open_since"))

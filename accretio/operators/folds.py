@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.names import reference_list
 from ..functions.values import is_rejected, key_text, member, number, parsed, tokens
 from ..schemas import field, typed
+from .boundaries import prefix_sum
 
 
 @dataclass(frozen=True)
@@ -160,10 +161,13 @@ def ordered_sum(facts: DataFrame, name: str, by: list[str] = ("kind",)) -> DataF
 def _last(rows: DataFrame, n: int, by: list[str]) -> DataFrame:
     """The last n rows of each group by receipt, numbered from the oldest kept.
 
-    The rank is bounded, so Spark keeps n rows a group before it shuffles.
+    The rank is bounded, so Spark keeps n rows a group before it shuffles. With n 0
+    all rows stay, numbered range by range.
     """
+    if not n:
+        return prefix_sum(rows, F.lit(1), "pos", by)
     ranked = rows.withColumn("__back", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("seq").desc())))
-    kept = ranked.where(F.col("__back") <= n) if n else ranked
+    kept = ranked.where(F.col("__back") <= n)
     return kept.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy("seq"))).drop("__back")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.names import in_kind, observer_matches
 from ..functions.values import rounded
 from ..schemas import RESERVED, field, in_ranges, visible
+from .boundaries import prefix_sum
 
 
 def at(facts: DataFrame, seq: int) -> DataFrame:
@@ -218,8 +219,8 @@ def receipt_ordinals(facts: DataFrame) -> DataFrame:
 
 def receipt_groups(facts: DataFrame) -> DataFrame:
     """Runs of neighbouring receipts of one kind and origin: (kind, origin, first_seq, last_seq, n)."""
-    order = Window.partitionBy("kind", "origin").orderBy("seq")
-    rows = facts.withColumn("island", F.col("seq") - F.row_number().over(order))
+    numbered = prefix_sum(facts, F.lit(1), "__number", ["kind", "origin"])
+    rows = numbered.withColumn("island", F.col("seq") - F.col("__number"))
     return rows.groupBy("kind", "origin", "island").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n")).drop("island")
 
 
