@@ -286,24 +286,46 @@ def _index(docs: DataFrame) -> DataFrame:
     return search.index(docs, "text", "seq")
 
 
-@R.query("SELECT doc_id AS seq FROM " + WORDS + " d WHERE list_contains(w, 'the') AND NOT list_contains(w, 'and') AND lang = 'en' ORDER BY doc_id DESC LIMIT 40")
+_WORDS_SQL = "SELECT doc_id AS seq FROM " + WORDS + " d WHERE list_contains(w, 'the') AND NOT list_contains(w, 'and') AND lang = 'en' ORDER BY doc_id DESC LIMIT 40"
+_PREFIX_SQL = "SELECT doc_id AS seq FROM " + WORDS + " d WHERE len(list_filter(w, lambda x: starts_with(x, 'licen'))) > 0 OR list_contains(w, 'token')"
+_PHRASE_SQL = "SELECT doc_id AS seq FROM " + WORDS + " d WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' in the ')"
+_WORDS_QUERY = search.And((search.Word("The"), search.Not(search.Word("and"))))
+_PREFIX_QUERY = search.Or((search.Word("licen", True), search.Word("token")))
+_PHRASE_QUERY = search.Phrase(("in", "the"))
+
+
+@R.query(_WORDS_SQL)
 def search_words(spark: SparkSession, d: str) -> DataFrame:
     """the, without and, in English documents: the newest 40."""
-    docs = _docs(spark, d)
-    query = search.And((search.Word("The"), search.Not(search.Word("and"))))
-    return search.search(_index(docs), docs, query, ["en"], 40).select("seq")
+    return search.scan(_docs(spark, d), "text", _WORDS_QUERY, ["en"], 40).select("seq")
 
 
-@R.query("SELECT doc_id AS seq FROM " + WORDS + " d WHERE len(list_filter(w, lambda x: starts_with(x, 'licen'))) > 0 OR list_contains(w, 'token')")
+@R.query(_PREFIX_SQL)
 def search_prefix(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    return search.search(_index(docs), docs, search.Or((search.Word("licen", True), search.Word("token")))).select("seq")
+    return search.scan(_docs(spark, d), "text", _PREFIX_QUERY).select("seq")
 
 
-@R.query("SELECT doc_id AS seq FROM " + WORDS + " d WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' in the ')")
+@R.query(_PHRASE_SQL)
 def search_phrase(spark: SparkSession, d: str) -> DataFrame:
+    return search.scan(_docs(spark, d), "text", _PHRASE_QUERY).select("seq")
+
+
+@R.query(_WORDS_SQL)
+def search_words_indexed(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    return search.search(_index(docs), docs, _WORDS_QUERY, ["en"], 40).select("seq")
+
+
+@R.query(_PREFIX_SQL)
+def search_prefix_indexed(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    return search.search(_index(docs), docs, _PREFIX_QUERY).select("seq")
+
+
+@R.query(_PHRASE_SQL)
+def search_phrase_indexed(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    return search.search(_index(docs), docs, search.Phrase(("in", "the"))).select("seq")
+    return search.search(_index(docs), docs, _PHRASE_QUERY).select("seq")
 
 
 @R.query("SELECT doc_id AS seq FROM documents WHERE contains(lower(text), 'apache license')")
