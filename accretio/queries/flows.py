@@ -382,3 +382,82 @@ def observer_match(spark: SparkSession, d: str) -> DataFrame:
 def route_globs(spark: SparkSession, d: str) -> DataFrame:
     f = facts(spark, d)
     return f.select("seq", names.routed(F.col("kind"), [("s*", "starts"), ("*r*", "holds")], ["view"]).alias("loop"))
+
+
+# declarations over the log -------------------------------------------------------------------
+DECLARATION = """
+name "shop"
+loops {
+  click { fold { items "by" "k"; n "inc"; seen "latest" } }
+  error { fold { last "collect" 15; total "sum" "cents"; least "min" "cents"; mean "avg" "cents" } }
+  view { fold { recent "window" 4 "cents" } }
+}
+routes { "pur*" "click" }
+"""
+
+
+@R.query("""WITH f AS (SELECT * FROM {FACTS} f WHERE seq <= 700), c AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY seq DESC) AS r FROM f)
+SELECT 'click' AS kind, 'items' AS target, 'by' AS fold, CAST(k AS VARCHAR) AS key, min(seq) AS pos, CAST(count(*) AS BIGINT) AS n FROM f WHERE kind = 'click' GROUP BY k
+UNION ALL SELECT 'error', 'last', 'collect', NULL, seq, 1 FROM c WHERE kind = 'error' AND r <= 15
+UNION ALL SELECT 'view', 'recent', 'window', NULL, row_number() OVER (ORDER BY seq), 1 FROM c WHERE kind = 'view' AND r <= 4""")
+def vertex_items(spark: SparkSession, d: str) -> DataFrame:
+    """A declaration's items at receipt 700."""
+    from ..plans import declarations, read
+
+    items, _, _ = read.fold(facts(spark, d), declarations.vertex(DECLARATION), at=700)
+    return items.select("kind", "target", "fold", "key", "pos", "n")
+
+
+@R.query("""WITH f AS (SELECT * FROM {FACTS} f WHERE seq <= 700)
+SELECT 'click' AS kind, unnest(['n', 'seen', 'seen_rejected']) AS target, unnest([CAST(count(*) AS DOUBLE), arg_max(ts, seq), 0.0]) AS value FROM f WHERE kind = 'click' HAVING count(*) > 0
+UNION ALL SELECT 'error', unnest(['total', 'total_rejected', 'least', 'least_rejected', 'mean', 'mean_sum', 'mean_count', 'mean_rejected']),
+  unnest([CAST(sum(cents) AS DOUBLE), 0.0, CAST(least(0, min(cents)) AS DOUBLE), 0.0, round(avg(cents), 6), CAST(sum(cents) AS DOUBLE), CAST(count(*) AS DOUBLE), 0.0]) FROM f WHERE kind = 'error' HAVING count(*) > 0""")
+def vertex_scalars(spark: SparkSession, d: str) -> DataFrame:
+    from ..plans import declarations, read
+
+    _, scalars, _ = read.fold(facts(spark, d), declarations.vertex(DECLARATION), at=700)
+    return scalars.withColumn("value", F.round("value", 6))
+
+
+@R.query("SELECT kind, CAST(count(*) AS BIGINT) AS count FROM {FACTS} f WHERE kind IN ('signup', 'purchase') GROUP BY kind")
+def vertex_unfolded(spark: SparkSession, d: str) -> DataFrame:
+    from ..plans import declarations, read
+
+    return read.fold(facts(spark, d), declarations.vertex(DECLARATION))[2]
+
+
+@R.query("""WITH b AS (SELECT *, 0 AS s FROM {FACTS} f WHERE seq % 2 = 0 UNION ALL SELECT *, 1 FROM {FACTS} f WHERE seq % 2 = 1),
+r AS (SELECT *, CASE WHEN kind = 'purchase' THEN 'click' ELSE kind END AS loop FROM b)
+SELECT loop AS kind, CAST(k AS VARCHAR) AS key, CAST(count(*) AS BIGINT) AS n, arg_max(id, ts) AS last_id FROM r WHERE loop = 'click' GROUP BY ALL""")
+def combined_fold(spark: SparkSession, d: str) -> DataFrame:
+    """Two stores folded as one log, in time order, one kind routed to another's fold."""
+    from ..operators import folds
+    from ..plans import declarations, read
+
+    f = facts(spark, d)
+    both = read.combined([f.where("seq % 2 = 0"), f.where("seq % 2 = 1").withColumn("seq", F.col("seq") + 7)], declarations.vertex(DECLARATION))
+    out = folds.upsert_fields(both.where("kind = 'click'").withColumn("last_id", F.col("id")), folds.Upsert("items", "k"), ["last_id"])
+    return out.select("kind", "key", "n", "last_id")
+
+
+@R.query("SELECT kind, CASE WHEN kind = 'error' THEN 'no grant' WHEN kind = 'signup' THEN 'undeclared' WHEN observer NOT IN ('1', '2', '3') THEN 'unknown observer' END AS refused, seq FROM {FACTS} f WHERE kind <> 'error' OR observer IN ('1', '2', '3')")
+def admission(spark: SparkSession, d: str) -> DataFrame:
+    """Facts with why they aren't admitted: undeclared kinds, unknown observers, no grant."""
+    from ..plans import declarations
+
+    v = declarations.vertex(DECLARATION + 'strict #true\nobservers { "1" { grant { potential "click" "view" "purchase" } }; "2" { grant { potential "click" "view" "purchase" } }; "3" { grant { potential "click" "view" "purchase" } } }')
+    v.kinds["purchase"] = v.kinds["click"]
+    return declarations.admitted(facts(spark, d), v).where("kind <> 'error' or refused = 'no grant'").select("kind", "refused", "seq")
+
+
+@R.query("""SELECT 'kind' AS section, CAST(k AS VARCHAR) AS subject, arg_max(CAST(seq AS VARCHAR), seq) AS document FROM {FACTS} f WHERE kind IN ('click', 'error') GROUP BY k
+HAVING arg_max(kind, seq) = 'click'""")
+def declared_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in force: the last of each subject, those removed last left out."""
+    from ..plans import declarations
+
+    f = facts(spark, d).where("kind in ('click', 'error')")
+    k, seq = F.col("k").cast("string"), F.col("seq").cast("string")
+    kept = F.col("kind") == "click"
+    payload = F.when(kept, F.to_json(F.struct(k.alias("subject"), seq.alias("document")))).otherwise(F.to_json(F.struct(k.alias("subject"))))
+    return declarations.declared(f.withColumn("payload", payload).withColumn("kind", F.when(kept, F.lit("_decl.kind-defined")).otherwise(F.lit("_decl.kind-removed"))))
