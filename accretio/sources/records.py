@@ -7,10 +7,10 @@ a bad line is a row in quarantine and not a failed job.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schemas import FACTS, TICKS
+from ..schemas import FACTS, TICKS, with_receipt
 
 #: The members a record must and may have.
 FACT_MEMBERS = ("t", "id", "kind", "ts", "observer", "origin", "payload")
@@ -86,11 +86,15 @@ def ticks(records: DataFrame) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their numbers. A log of many files is numbered by file name, then place."""
-    from ..schemas import with_receipt
+    """Lines with their numbers: by file name, then by place in the file.
 
+    Parts of a large file are numbered in their own tasks; a file's parts come in
+    the order of their first byte.
+    """
     rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
-    return with_receipt(rows.where("value <> ''"), ["at"]).select(F.col("seq").alias("line"), "value")
+    files = rows.select("file").distinct().withColumn("number", F.row_number().over(Window.orderBy("file")))  # one row a file
+    placed = rows.join(files, "file").withColumn("part", F.col("number") * 1e12 + F.col("start"))
+    return with_receipt(placed.where("value <> ''"), ["part", "at"]).select(F.col("seq").alias("line"), "value")
 
 
 def fact_lines(rows: DataFrame) -> DataFrame:

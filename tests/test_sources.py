@@ -33,6 +33,12 @@ def test_write_and_read_back(spark, tmp_path):
     records.fact_lines(rows.coalesce(1).sortWithinPartitions("seq")).write.text(str(tmp_path / "log"))
     again = records.facts(records.checked(records.read_log(spark, str(tmp_path / "log"))))
     assert [r["id"] for r in again.orderBy("seq").collect()] == [f"f{i}" for i in range(20)]
+    for n, size in enumerate((3, 40, 7)):  # Spark reads larger files first; numbers follow names
+        (tmp_path / "many").mkdir(exist_ok=True)
+        (tmp_path / "many" / f"{n}.jsonl").write_text("".join(json.dumps(fact(f"{n}-{i:02d}")) + "\n" for i in range(size)))
+    many = records.facts(records.checked(records.read_log(spark, str(tmp_path / "many")))).orderBy("seq")
+    ids = [r["id"] for r in many.collect()]
+    assert len(ids) == 50 and ids == sorted(ids)
 
 
 def test_sources(spark, tmp_path):
