@@ -27,11 +27,12 @@ def components(links: DataFrame) -> DataFrame:
     while before[0]:
         # large star: a's larger neighbours go to the least of a and its neighbours
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # (minima are written so that the join with them can split a node of many links)
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = written(large.where(F.col("a") != F.col("b")).distinct(), "links")
         # small star: a and its smaller neighbours go to the least of these
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = written(small.where(F.col("a") != F.col("b")).distinct(), "links")
         now = _sum_of(edges)
