@@ -5,6 +5,8 @@ nodes: (kind, key). edges: (src, predicate, dst), names being kind:key.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,3 +148,33 @@ def longest_chains(edges: DataFrame, most: int = 64) -> DataFrame:
             return best.groupBy("name").agg(F.max("length").alias("length"))
         best = best.unionByName(frontier.withColumn("length", F.lit(step)))
     raise ValueError(f"there are paths of more than {most} steps, or cycles")
+
+
+def chain_paths(edges: DataFrame, most: int = 128) -> DataFrame:
+    """(name, path): the longest path that starts in each node with an edge, the least by name of equals.
+
+    Edges must have no cycles. Every step lengthens paths by one edge in front and
+    keeps one path a node: of all paths of a length, the least, whose rest is the
+    least of its own start. Paths beyond ``most`` steps are an error.
+    """
+    left = written(edges.select("src", "dst").distinct(), "chain-edges")
+    step = written(left.groupBy("src").agg(F.min(F.array("src", "dst")).alias("path")).withColumnRenamed("src", "name"), "paths")
+    rounds = [step]
+    for _ in range(most - 1):
+        longer = left.join(step.withColumnRenamed("name", "dst"), "dst").groupBy("src").agg(F.min(F.concat(F.array("src"), "path")).alias("path"))
+        step = written(longer.withColumnRenamed("src", "name"), "paths")
+        if not step.head(1):
+            return reduce(DataFrame.unionByName, rounds).groupBy("name").agg(F.max_by("path", F.size("path")).alias("path"))
+        rounds.append(step)
+    raise ValueError(f"there are paths of more than {most} steps, or cycles")
+
+
+def top_chains(edges: DataFrame, limit: int = 10, most: int = 128) -> DataFrame:
+    """(path, length): the longest chains of nodes that aren't part of another, longest first, then by name.
+
+    The rest of a longest chain is the longest chain of its own start, so a chain
+    is part of another where its start comes second in one.
+    """
+    paths = chain_paths(edges, most)
+    second = paths.select(F.get("path", F.lit(1)).alias("name")).distinct()
+    return paths.join(second, "name", "left_anti").select("path", F.size("path").alias("length")).orderBy(F.col("length").desc(), "path").limit(limit)

@@ -7,6 +7,7 @@ ordered by time, newest first; there is no ranking.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -145,3 +146,9 @@ def hybrid(indexed: DataFrame, facts: DataFrame, covered: DataFrame, query: Word
     by_index = search(indexed, facts.join(fresh, "kind", "left_semi"), query)
     by_text = substring(facts.join(fresh, "kind", "left_anti"), text, query.text)
     return by_index.unionByName(by_text.select(*by_index.columns)).orderBy(F.col("ts").desc(), F.col("seq").desc()).limit(limit)
+
+
+def together(found: list[DataFrame], limit: int = 100) -> DataFrame:
+    """What members' searches found, newest first: each member's own limit stands, then this one."""
+    both = reduce(DataFrame.unionByName, [rows.withColumn("member", F.lit(n)) for n, rows in enumerate(found)])
+    return both.orderBy(F.col("ts").desc(), "member", F.col("seq").desc()).limit(limit)

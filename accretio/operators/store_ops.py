@@ -125,3 +125,12 @@ def pull(target: DataFrame | None, path: str) -> DataFrame:
     from pyspark.sql import SparkSession
 
     return receive(target, (spark or SparkSession.active()).read.parquet(path))
+
+
+def rebirth_problems(source: DataFrame, target: DataFrame, ticks: DataFrame | None = None, transform: Callable[[DataFrame], DataFrame] | None = None, vertex: str = "vertex") -> DataFrame:
+    """(seq, side): where a log isn't what the source gives through the transform, its receipt included.
+
+    The rebirth is made again and held against the target, place by place; no
+    rows mean that it is one.
+    """
+    return difference(rebirth(source, ticks, transform, vertex), target.select(*FACT_COLUMNS), "seq")

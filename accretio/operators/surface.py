@@ -176,3 +176,17 @@ def tier_lookup(facts: DataFrame, items: DataFrame) -> DataFrame:
 def review(items: DataFrame) -> DataFrame:
     """A fixed order for comparing two runs."""
     return items.orderBy("kind", F.coalesce("key", F.lit("")))
+
+
+def namespaces(items: DataFrame, most: int = 2) -> DataFrame:
+    """(kind, namespace, items): items by the part of their key before its first slash.
+
+    A kind is left whole (namespace null) where no key has a slash, or those
+    without are more than ``most`` times those with one.
+    """
+    split = F.when(F.contains("key", F.lit("/")), F.split_part("key", F.lit("/"), F.lit(1)))
+    per = items.groupBy("kind", split.alias("namespace")).agg(F.count("*").alias("items"))
+    kinds = per.groupBy("kind").agg(F.sum(F.when(F.col("namespace").isNotNull(), F.col("items")).otherwise(0)).alias("named"), F.sum("items").alias("all"))
+    grouped = (F.col("named") > 0) & (F.col("all") - F.col("named") <= most * F.col("named"))
+    marked = per.join(kinds.select("kind", grouped.alias("grouped")), "kind")
+    return marked.groupBy("kind", F.when(F.col("grouped"), F.col("namespace")).alias("namespace")).agg(F.sum("items").alias("items"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import entities, flows, logs, streams
+from . import entities, flows, history, logs, streams
 
-QUERIES = {**logs.QUERIES, **flows.QUERIES, **entities.QUERIES, **streams.QUERIES}
-ORACLE_SQL = {**logs.ORACLE_SQL, **flows.ORACLE_SQL, **entities.ORACLE_SQL, **streams.ORACLE_SQL}
+QUERIES = {**logs.QUERIES, **flows.QUERIES, **entities.QUERIES, **history.QUERIES, **streams.QUERIES}
+ORACLE_SQL = {**logs.ORACLE_SQL, **flows.ORACLE_SQL, **entities.ORACLE_SQL, **history.ORACLE_SQL, **streams.ORACLE_SQL}
