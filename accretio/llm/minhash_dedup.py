@@ -17,7 +17,8 @@ components of the links.
 A pair of similarity s shares a bucket with probability 1 - (1 - s**ROWS)**BANDS:
 over 0.9999 at 0.8. A null text counts as empty. Texts without words link to
 nothing. Texts of one to four words have one shingle of all their words. Rows
-that share an id, and all rows without one, are one document each.
+that share an id are one document. Rows without an id are known by their text:
+those of one text are one document, those of several are several.
 """
 
 from __future__ import annotations
@@ -28,11 +29,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bagminhash import Shingler, bands, overlap, signatures
-from .common import NULL_ID, id_or_null_id, per_batch, table, written
+from .common import NULL_ID, per_batch, table, written
 from .components import components
 
 SIMILARITY, WORDS = 0.8, 5
@@ -45,6 +46,9 @@ CHUNK = 64
 #: size. If it fills, more rows pass, and the join by id that follows drops them.
 BLOOM_WORDS = 1 << 20
 
+#: Ids below this one are kept for rows without an id, from a hash of their text.
+NAMED = NULL_ID + (1 << 61)
+
 _shingler = Shingler(WORDS)
 
 
@@ -70,9 +74,15 @@ def _signed(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(sized), lists], ["doc", "d1", "d2", "n", "bands"])
 
 
+def _doc() -> Column:
+    """A row's id, or below all ids a number from its text."""
+    unnamed = F.lit(NULL_ID) + F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), 3)
+    return F.coalesce(F.col("doc_id").cast("long"), unnamed)
+
+
 def signed(docs: DataFrame) -> DataFrame:
     """(doc, d1, d2, n, bands): a digest of the words, how many shingles, a hash per band."""
-    rows = docs.select(id_or_null_id().alias("doc"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(_doc().alias("doc"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(per_batch(_signed), "doc long, d1 long, d2 long, n long, bands array<long>")
 
 
@@ -108,7 +118,7 @@ def _with_items(filled) -> object:
 def item_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, items) for the documents in ``nodes``: the shingle multiset as a sorted set, in bytes."""
     filled = _bloom(nodes, "node")
-    doc = id_or_null_id()
+    doc = _doc()
     rows = docs.select(
         doc.alias("doc"), F.col("text").cast("string").alias("text"), F.xxhash64(doc).alias("h0"), F.xxhash64(doc, F.lit(1)).alias("h1"), F.xxhash64(doc, F.lit(2)).alias("h2")
     )
@@ -180,12 +190,8 @@ def _between(clustered: DataFrame, items: DataFrame, similarity: float) -> DataF
     return sides.applyInPandas(_compared(similarity), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, n_copies) for each row: its class, named by its least id, and
-    how many rows have the very same words.
-
-    A class of rows without an id alone has no name: null.
-    """
+def _classed(docs: DataFrame, similarity: float) -> DataFrame:
+    """(doc, class, copies) for each row, with numbers for rows without an id."""
     marked = written(signed(docs), "signed")
     texts = marked.groupBy("d1", "d2").agg(F.min("doc").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     texts = written(texts, "texts")
@@ -218,20 +224,28 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         roots = written(components(links.unionByName(more)), "roots")
 
     named = texts.join(roots, "node", "left").select("d1", "d2", "copies", F.coalesce("root", "node").alias("class"))
-    null = F.lit(NULL_ID)
+    # texts without words link to nothing, not even to one another
     return marked.select("doc", "d1", "d2", "n").join(named, ["d1", "d2"]).select(
-        F.when(F.col("doc") != null, F.col("doc")).alias("doc_id"),
-        # texts without words link to nothing, not even to one another
-        F.when(F.col("n") == 0, F.nullif("doc", null)).otherwise(F.nullif("class", null)).alias("class_id"),
-        F.when(F.col("n") == 0, F.lit(1)).otherwise(F.col("copies")).alias("n_copies"),
+        "doc", F.when(F.col("n") == 0, F.col("doc")).otherwise(F.col("class")).alias("class"), F.when(F.col("n") == 0, F.lit(1)).otherwise(F.col("copies")).alias("copies")
+    )
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, class_id, n_copies) for each row: its class, named by its least id, and
+    how many rows have the very same words.
+
+    A class with a row without an id has no name: null.
+    """
+    rows = _classed(docs, similarity)
+    return rows.select(
+        F.when(F.col("doc") >= NAMED, F.col("doc")).alias("doc_id"), F.when(F.col("class") >= NAMED, F.col("class")).alias("class_id"), F.col("copies").alias("n_copies")
     )
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each class: its least id."""
-    found = near_duplicates(docs, similarity)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__doc")).distinct()
-    kept = docs.withColumn("__doc", id_or_null_id()).join(gone, "__doc", "left_anti")
+    """``docs`` with one row of each class: its least id, or one without an id if there is any."""
+    gone = _classed(docs, similarity).where(F.col("doc") != F.col("class")).select(F.col("doc").alias("__doc")).distinct()
+    kept = docs.withColumn("__doc", _doc()).join(gone, "__doc", "left_anti")
     if kept.groupBy("__doc").count().where("count > 1").head(1):
         kept = kept.dropDuplicates(["__doc"])
     return kept.select(*docs.columns)

@@ -334,6 +334,17 @@ def test_near_duplicates(spark, monkeypatch, small):
     assert minhash_dedup.near_duplicates(empty(docs)).count() == 0
 
 
+def test_near_duplicates_without_ids(spark):
+    """Rows without an id don't bring together what is like each of them, and only copies go."""
+    rng = random.Random(12)
+    one, two, three = (prose(rng, 120) for _ in range(3))
+    rows = [(None, one), (None, one), (None, two), (None, three), (None, ""), (None, None), (1, one + " more"), (2, two + " more"), (3, prose(rng, 120))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"] or "") for r in minhash_dedup.deduplicated(docs).collect()]
+    assert Counter(kept) == Counter([(None, one), (None, two), (None, three), (None, ""), rows[-1]])
+    assert [(r["class_id"], r["n_copies"]) for r in minhash_dedup.near_duplicates(docs).where("doc_id = 3").collect()] == [(3, 1)]
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, i) for i in range(2001, 2100)]
