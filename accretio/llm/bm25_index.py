@@ -64,7 +64,7 @@ class Shard:
         terms, first = np.unique(flat[order], return_index=True)
         starts = np.append(first, len(flat)).astype(np.int64)
         lengths = np.array([int(f.sum()) for _, f in counted], np.int64)
-        return Shard(np.array(ids, np.int64), lengths, terms, starts, docs[order], np.minimum(tfs[order], 65535).astype(np.uint16))
+        return Shard(np.array(ids, np.int64), lengths, terms, starts, docs[order], tfs[order].astype(np.uint32))
 
     def document_frequencies(self) -> np.ndarray:
         return np.diff(self.starts)
@@ -201,14 +201,14 @@ class Shard:
 
     def to_bytes(self) -> bytes:
         head = np.array([len(self.ids), len(self.terms), len(self.docs)], "<i8")
-        arrays = (self.ids, self.lengths, self.terms, self.starts.astype("<i8"), self.docs.astype("<i4"), self.tfs.astype("<u2"))
+        arrays = (self.ids, self.lengths, self.terms, self.starts.astype("<i8"), self.docs.astype("<i4"), self.tfs.astype("<u4"))
         return b"".join([head.tobytes(), *[a.tobytes() for a in arrays]])
 
     @staticmethod
     def from_bytes(data) -> Shard:
         n, t, p = np.frombuffer(data, "<i8", 3).tolist()
         at, out = 24, []
-        for kind, size in (("<i8", n), ("<i8", n), ("<u8", t), ("<i8", t + 1), ("<i4", p), ("<u2", p)):
+        for kind, size in (("<i8", n), ("<i8", n), ("<u8", t), ("<i8", t + 1), ("<i4", p), ("<u4", p)):
             out.append(np.frombuffer(data, kind, size, at))
             at += out[-1].nbytes
         return Shard(*out)

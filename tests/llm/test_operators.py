@@ -464,3 +464,13 @@ def test_search(spark, monkeypatch, shard):
         assert [d for _, d in got[q]] == [d for _, d in want[q]], q
         assert np.allclose([s for s, _ in got[q]], [s for s, _ in want[q]])
     assert bm25.search(bm25.index(empty(docs)), spark.createDataFrame(queries, "query_id long, text string")).count() == 0
+
+
+def test_search_counts_every_repeat(spark):
+    rows = [(1, "deep " * 200_000), (2, "deep " * 70_000 + "sea"), (3, "deep sea"), *[(i, f"sea {i}") for i in range(4, 20)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    queries = [(1, "deep"), (2, "deep sea")]
+    got = defaultdict(list)
+    for r in bm25.search(bm25.index(docs), spark.createDataFrame(queries, "query_id long, text string")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((-round(r["score"], 9), r["doc_id"]))
+    assert got == best_by_hand(rows, queries)
