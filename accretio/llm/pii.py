@@ -3,10 +3,10 @@
 Base detectors accept what their pattern and their check (number ranges, Luhn,
 digit counts) accept. High-recall generators propose further, overlapping spans;
 gradient-boosted trees score them by format and context, without seeing the
-checks, after learning on a bounded sample which candidates the base detectors
-accept. For each kind, the least score at which held-out candidates are right
-often enough is the threshold; what scores above it is added. The trees are
-applied as one column expression inside the row, so documents aren't shuffled.
+checks, after learning on a bounded sample of distinct candidates which ones the
+base detectors accept. For each kind, the least score at which the candidates not
+learned from, all of them, are right often enough is the threshold; what scores
+above it is added. The trees are applied as one column expression inside the row, so documents aren't shuffled.
 
 Offsets are code points, ends exclusive. A null text counts as empty and has no
 spans. Without enough labelled candidates nothing is added. Repeated rows are
@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Candidates the trees may learn from, at most, and the least of either label.
+#: Distinct candidates the trees may learn from, at most, and the least of either label.
 SAMPLE, LEAST = 20_000, 50
 PRECISION = 0.95
 _BLOCK = 64
+#: What makes two candidates one: all that features see, and nothing of their place.
+_IDENTITY = ("kind", "value", "before", "after")
 
 # Patterns with possessive repeats, and starts only where a match can start, so
 # that time stays linear in the text; \G lets a match follow directly on another.
@@ -197,33 +199,51 @@ def _tree(node) -> object:
     return (int(split.featureIndex()), float(split.threshold()), _tree(node.leftChild()), _tree(node.rightChild()))
 
 
-def learned(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> SpanModel | None:
-    """Trees and thresholds from at most ``sample`` candidates of ``docs``; None if there is too little to learn from."""
+def _candidates(docs: DataFrame) -> DataFrame:
+    """The distinct candidates of ``docs`` with their label, how often each occurs, and an order that only they decide."""
     rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.rlike("text", F.lit("[0-9]{2}|@")))
-    rows = rows.select(F.xxhash64("text").alias("of"), base_spans(F.col("text")).alias("base"), proposed(F.col("text")).alias("all"))
+    rows = rows.select(base_spans(F.col("text")).alias("base"), proposed(F.col("text")).alias("all"))
     # labels are made within the row, so that candidates leave it without the text
     labelled = F.transform("all", lambda c: F.struct(c.alias("c"), _overlaps(F.col("base"), c).cast("double").alias("label")))
-    rows = rows.select("of", F.explode(labelled).alias("x")).select("of", "x.c", "x.label")
-    named = features(F.col("c"))
+    rows = rows.select(F.explode(labelled).alias("x")).select(*[f"x.c.{name}" for name in _IDENTITY], "x.label")
+    rows = rows.groupBy(*_IDENTITY, "label").agg(F.count("*").alias("copies"))
+    return written(rows.withColumn("order", F.xxhash64(*_IDENTITY)), "candidates")
+
+
+def learned(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> SpanModel | None:
+    """Trees from at most ``sample`` distinct candidates of ``docs``, thresholds from all others; None if there is too little to learn from."""
+    rows = _candidates(docs)
+    span = F.struct(*_IDENTITY, F.lit(0).alias("start"), F.length("value").alias("end"))
+    named = features(span)
     names = list(named)
-    picked = rows.select("label", F.col("c.kind").alias("kind"), F.xxhash64("of", "c").alias("order"), *[column.alias(name) for name, column in named.items()])
-    picked = written(picked.orderBy("order").limit(sample), "candidates")
-    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(picked)
-    seen = {r["label"]: r["count"] for r in picked.groupBy("label").count().collect()}
-    if min(seen.get(0.0, 0), seen.get(1.0, 0)) < LEAST:
+    kept = F.pmod("order", F.lit(5)) == 0  # a fifth is never learned from, so that few candidates leave some to judge by
+    others = rows.where(~kept)
+    # hashes are even: the share below the bound holds the sample, with room, and bounds what is sorted in one place
+    share = (sample + 10 * sample**0.5) / max(others.count(), 1)
+    if share < 1:
+        others = others.where(F.col("order") <= int(-(2**63) + share * 2**64))
+    picked = others.orderBy("order", *_IDENTITY, "label").limit(sample)
+    picked = written(picked.select("label", "order", *[column.alias(name) for name, column in named.items()]), "sample")
+    seen = {r["label"]: r for r in picked.groupBy("label").agg(F.count("*").alias("n"), F.max("order").alias("last")).collect()}
+    if min(seen[label]["n"] if label in seen else 0 for label in (0.0, 1.0)) < LEAST:
         return None
-    held = F.pmod("order", F.lit(5)) == 0
-    fitted = GBTClassifier(maxIter=10, maxDepth=3, stepSize=0.3, seed=7, featuresCol="features", labelCol="label").fit(vectors.where(~held))
+    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(picked)
+    fitted = GBTClassifier(maxIter=10, maxDepth=3, stepSize=0.3, seed=7, featuresCol="features", labelCol="label").fit(vectors)
     trees = [_tree(t._java_obj.rootNode()) for t in fitted.trees]
     model = SpanModel(names, trees, [float(w) for w in fitted.treeWeights], {})
-    scores = picked.where(held).select("kind", "label", F.round(model.score({n: F.col(n) for n in names}), 3).alias("score"))
-    steps = scores.groupBy("kind", "score").agg(F.count("*").alias("n"), F.sum("label").alias("right")).collect()  # one row per distinct score
+    held = rows.where(kept | (F.col("order") > max(r["last"] for r in seen.values())))
+    held = held.select("kind", "label", "copies", *[column.alias(f"_{name}") for name, column in named.items()])
+    scores = held.select("kind", "label", "copies", F.round(model.score({n: F.col(f"_{n}") for n in names}), 3).alias("score"))
+    sums = [F.count("*").alias("n"), F.sum("label").alias("right"), F.sum("copies").alias("rows"), F.sum(F.col("label") * F.col("copies")).alias("right_rows")]
+    steps = scores.groupBy("kind", "score").agg(*sums).collect()  # one row per distinct score
     thresholds = {}
     for kind in range(len(KINDS)):
-        n = right = 0
+        n = right = all_rows = right_rows = 0
         for row in sorted((r for r in steps if r["kind"] == kind), key=lambda r: -r["score"]):
             n, right = n + row["n"], right + row["right"]
-            if n >= 10 and right / n >= precision:
+            all_rows, right_rows = all_rows + row["rows"], right_rows + row["right_rows"]
+            # precise enough both by candidate and by occurrence: copies alone can neither set a threshold nor hide behind one
+            if n >= 10 and min(right / n, right_rows / all_rows) >= precision:
                 thresholds[kind] = row["score"] - 0.0005
     return SpanModel(names, trees, model.weights, thresholds)
 

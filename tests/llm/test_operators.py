@@ -411,6 +411,26 @@ def test_learned_spans_keep_the_base(spark):
     assert pii.redacted(awkward(spark), model).columns == awkward(spark).columns
 
 
+def learnable(n, seed):
+    rng = random.Random(seed)
+    goods = [rng.random() < 0.5 for _ in range(n)]
+    return [f"{prose(rng, 8)} mail {'me' if good else 'x'}{i}@{'here.org' if good else 'here'}" for i, good in enumerate(goods)]
+
+
+def test_learning_sees_through_copies(spark):
+    texts = learnable(600, 2) + [f"copied mail y{i}@there" for i in range(30) for _ in range(400)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    model = pii.learned(docs, sample=400)
+    assert model is not None and 0 in model.thresholds
+
+
+def test_thresholds_come_from_all_candidates(spark):
+    # of 80 phone numbers, a sample of 200 candidates holds about ten: too few to judge by, while all of them suffice
+    texts = [t + f" call +1 (017) 555-{i:04d}" * (i % 20 == 0) for i, t in enumerate(learnable(1600, 3))]
+    model = pii.learned(spark.createDataFrame([(t,) for t in texts], "text string"), sample=200)
+    assert set(model.thresholds) == {0, 3}
+
+
 # 10: classifier --------------------------------------------------------------------------------------------
 def test_classifier_on_held_out(spark):
     sf = "/root/testdata/sf0.01"
