@@ -213,6 +213,15 @@ def ref_walk(spark: SparkSession, d: str) -> DataFrame:
     return graph.walk(_graph(spark, d), starts, 2)
 
 
+@R.query("""WITH RECURSIVE w AS (SELECT 'customer:' || c_custkey AS name, 0 AS depth FROM customer UNION SELECT 'supplier:' || s_suppkey, 0 FROM supplier
+UNION SELECT e.dst, w.depth + 1 FROM w JOIN """ + EDGES + """ e ON e.src = w.name WHERE w.depth < 2)
+SELECT name, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY name""")
+def ref_walk_all(spark: SparkSession, d: str) -> DataFrame:
+    """As ref_walk, from every customer and supplier."""
+    starts = _nodes(spark, d).where(F.col("kind").isin("customer", "supplier"))
+    return graph.walk(_graph(spark, d), starts.select(F.concat_ws(":", "kind", "key").alias("name")), 2)
+
+
 @R.query("""WITH RECURSIVE w AS (SELECT DISTINCT src AS name, 0 AS length FROM """ + EDGES + """ e UNION SELECT e.dst, w.length + 1 FROM w JOIN """ + EDGES + """ e ON e.src = w.name)
 SELECT name, CAST(max(length) AS INTEGER) AS length FROM w GROUP BY name""")
 def longest_chain(spark: SparkSession, d: str) -> DataFrame:

@@ -302,6 +302,14 @@ def tick_asof_floor(spark: SparkSession, d: str) -> DataFrame:
     return reads.tick_floor(rows, _ticks(spark, d), marks)
 
 
+@R.query("""WITH m AS (SELECT seq AS mark, ts + 0.5 AS mts FROM {FACTS} f), t AS (SELECT * FROM """ + TICKS + """ t)
+SELECT m.mark, m.mts AS mark_ts, t.tick_seq, t.name, t.ts AS tick_ts FROM m ASOF LEFT JOIN t ON m.mts >= t.ts""")
+def tick_asof_floor_all(spark: SparkSession, d: str) -> DataFrame:
+    """As tick_asof_floor, with a mark at every fact."""
+    rows = facts(spark, d)
+    return reads.tick_floor(rows, _ticks(spark, d), rows.select(F.col("seq").alias("mark"), (F.col("ts") + 0.5).alias("ts")))
+
+
 SHUFFLED = "(SELECT (seq * 7919) % (SELECT count(*) FROM events) AS seq2, * FROM {FACTS} f)"
 
 

@@ -47,3 +47,10 @@ def test_query(spark, db, name):
     names = [c[0] for c in found.description]
     assert sorted(got.columns) == sorted(names)
     assert rows_of(got.columns, got.collect()) == rows_of(names, found.fetchall())
+
+
+def test_walks_and_marks_leave_nothing_out(spark, db):
+    walked = {r["name"] for r in queries.QUERIES["ref_walk_all"](spark, SF).where("depth = 0").collect()}
+    assert walked == {x for (x,) in db.execute("SELECT 'customer:' || c_custkey FROM customer UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier").fetchall()}
+    marks = {r["mark"] for r in queries.QUERIES["tick_asof_floor_all"](spark, SF).collect()}
+    assert marks == {x for (x,) in db.execute("SELECT event_id FROM events").fetchall()}
