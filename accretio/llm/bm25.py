@@ -8,12 +8,13 @@ shards, and the shards' best lists merge into the exact result.
 
 A query is a text; each distinct term counts once, with the weight
 ln(1 + (N - df + 0.5) / (df + 0.5)). Results are the k documents of highest
-positive score, ties by least id. Queries go to all shards in blocks of a fixed
-number of rows, one job a block, so what a task holds doesn't grow with them.
+positive score, ties by least id. Queries go to all shards in blocks of bounded
+size, two jobs a block, so what a task holds doesn't grow with them.
 
 A null text counts as empty: as a document it is found by no query, as a query
 it finds nothing. Rows that share an id are documents of their own; rows without
-an id are indexed as the id below all others and given back as null.
+an id are indexed as the id below all others and given back as null. Query rows
+that share an id are one query of all their terms; those without an id are left out.
 """
 
 from __future__ import annotations
@@ -21,19 +22,22 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bm25_index import Shard
+from .bm25_index import Queries, Shard
 from .common import NULL_ID, id_or_null_id, table, written
 
-#: Documents and characters a shard takes, about, and queries a block.
-SHARD_DOCS, SHARD_CHARS, QUERY_BLOCK = 6144, 18_000_000, 4096
+#: Documents and characters a shard takes, about; queries a block, and their terms in all.
+SHARD_DOCS, SHARD_CHARS, QUERY_BLOCK, QUERY_TERMS = 6144, 18_000_000, 4096, 4_000_000
 _TERM = re.compile(r"[^\W_]+")
 _KNOWN = 200_000
 
@@ -107,62 +111,107 @@ def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(counted))], ["query", "term"])
 
 
-def _searched(asked, k: int, mean_length: float):
+def _merged(best: tuple[np.ndarray, np.ndarray], docs: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    docs, scores = np.append(best[0], docs), np.append(best[1], scores)
+    top = np.lexsort((docs, -scores))[:k]
+    return docs[top], scores[top]
+
+
+def _floors(asked, k: int, mean_length: float):
+    """A task's k highest floors for each query, however many shards it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries, _ = asked.value
+        best = np.zeros((len(ids), k))
+        for batch in batches:
+            for blob in batch.column("shard"):
+                found = Shard.from_bytes(blob.as_buffer()).ready(mean_length).floors(queries, k)
+                best = -np.sort(-np.concatenate([best, found], axis=1), axis=1)[:, :k]
+        some = best > 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, some.sum(1))), pa.array(best[some])], ["query", "floor"])
+
+    return run
+
+
+def _searched(asked, k: int, mean_length: float, blocks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, ends, terms, weights = asked.value
-        queries = [(terms[ends[q] : ends[q + 1]], weights[ends[q] : ends[q + 1]]) for q in range(len(ids))]
-        least = np.zeros(len(ids))
-        best = [(np.empty(0, np.int64), np.empty(0))] * len(ids)
+        ids, queries, least = asked.value
+        least, best = least.copy(), [(np.empty(0, np.int64), np.empty(0))] * len(ids)
         for batch in batches:
             for blob in batch.column("shard"):
-                found = Shard.from_bytes(blob.as_buffer()).ready(mean_length).search(queries, k, least)
-                for q, (docs, scores) in enumerate(found):
-                    docs, scores = np.append(best[q][0], docs), np.append(best[q][1], scores)
-                    top = np.lexsort((docs, -scores))[:k]
-                    best[q] = docs[top], scores[top]
-                    if len(top) == k:
-                        least[q] = scores[top[-1]]
-        # one list a query and task, however many shards the task had
-        for i in range(0, len(ids), 1024):
-            part = best[i : i + 1024]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(ids[i : i + 1024], [len(d) for d, _ in part])),
-                    pa.array(np.concatenate([d for d, _ in part])),
-                    pa.array(np.concatenate([s for _, s in part])),
-                ],
-                ["query", "doc", "score"],
-            )
+                shard = Shard.from_bytes(blob.as_buffer()).ready(mean_length)
+                for q, (docs, scores) in enumerate(shard.search(queries, k, least)):
+                    if len(docs):
+                        best[q] = _merged(best[q], docs, scores, k)
+                        if len(best[q][1]) == k:
+                            least[q] = max(least[q], best[q][1][-1])
+                blocks.add(np.array([shard.scored, shard.there]))
+        sizes = [len(d) for d, _ in best]
+        docs, scores = (np.concatenate([x[i] for x in best]) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(docs), pa.array(scores)], ["query", "doc", "score"])
 
     return run
 
 
-def search(shards: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, rank, doc_id, score): the k best documents for each row of ``queries`` (query_id, text)."""
+class _Sum(AccumulatorParam):
+    def zero(self, value):
+        return value * 0
+
+    def addInPlace(self, one, two):
+        return one + two
+
+
+@dataclass
+class Pruning:
+    """Blocks scored and blocks there were, summed over queries and shards (a task that is run again counts again)."""
+
+    scored: int = 0
+    there: int = 0
+
+
+def _vectors(shards: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """(query, terms, block): each query's terms in order with their weights, dealt to blocks of bounded size."""
+    asked = rows.mapInArrow(_query_terms, "query long, term long").distinct()
+    df = shards.select("shard").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    unsigned = F.when(F.col("term") < 0, F.col("term") - F.lit(NULL_ID)).otherwise(F.col("term") + F.lit(NULL_ID))  # in the order of unsigned hashes
+    pair = F.struct(unsigned.alias("place"), "term", weight.alias("weight"))
+    vectors = written(asked.join(df, "term").groupBy("query").agg(F.sort_array(F.collect_list(pair)).alias("terms")), "vectors")
+    size = vectors.agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("terms")).first()
+    blocks = max(1, math.ceil(size["n"] / QUERY_BLOCK), math.ceil((size["terms"] or 0) / QUERY_TERMS))
+    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
+    return written(dealt.repartition(blocks, "block"), "blocks", by="block")
+
+
+def search(shards: DataFrame, queries: DataFrame, k: int = 10, pruning: Pruning | None = None) -> DataFrame:
+    """(query_id, rank, doc_id, score): the k best documents for each row of ``queries`` (query_id, text).
+
+    Each block of queries takes two passes over the shards: the first finds for
+    every query a score that k documents reach, the second skips what stays below.
+    """
     spark = shards.sparkSession
     totals = shards.agg(F.sum("n").alias("n"), F.sum("length").alias("length")).first()
     n, mean_length = totals["n"] or 0, (totals["length"] or 0) / max(totals["n"] or 0, 1)
     rows = queries.select(F.col("query_id").cast("long").alias("query"), F.col("text").cast("string").alias("text")).where(F.col("query").isNotNull())
-    asked = rows.mapInArrow(_query_terms, "query long, term long").distinct()
-    df = shards.select("shard").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    # terms are in order, so equal texts get equal sums whatever the shard
-    vectors = asked.join(df, "term").groupBy("query").agg(F.sort_array(F.collect_list(F.struct("term", "df"))).alias("terms"))
-    numbered = rows.groupBy("query").count().select("query", F.pmod(F.xxhash64("query"), F.lit(max(1, math.ceil(rows.count() / QUERY_BLOCK)))).alias("block"))
-    vectors = written(vectors.join(numbered, "query"), "vectors")
-    blocks = [r["block"] for r in vectors.select("block").distinct().collect()]  # one row for QUERY_BLOCK queries
+    vectors = _vectors(shards, rows, n)
     parts = []
-    for block in sorted(blocks):
-        own = vectors.where(F.col("block") == block).select("query", "terms").toArrow()
-        lists = own["terms"].combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        flat = lists.flatten()
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-        dfs = flat.field("df").to_numpy().astype(float)
-        weights = np.log(1 + (n - dfs + 0.5) / (dfs + 0.5))
-        sent = spark.sparkContext.broadcast((own["query"].to_numpy(), ends, flat.field("term").to_numpy().view(np.uint64), weights))
-        hits = shards.select("shard").mapInArrow(_searched(sent, k, mean_length), "query long, doc long, score double")
+    for block in sorted(r["block"] for r in vectors.select("block").distinct().collect()):  # one row for QUERY_BLOCK queries
+        own = vectors.where(F.col("block") == block).select("query", F.transform("terms", lambda t: t["term"]).alias("terms"), F.transform("terms", lambda t: t["weight"]).alias("weights")).toArrow().combine_chunks()
+        terms, weights = (pa.concat_arrays(own[c].chunks) for c in ("terms", "weights"))
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(terms).to_numpy())]).astype(np.int64)
+        asked = Queries(ends, terms.flatten().to_numpy().view(np.uint64), weights.flatten().to_numpy())
+        ids = own["query"].to_numpy()
+        sent = spark.sparkContext.broadcast((ids, asked, None))
+        floors = shards.select("shard").mapInArrow(_floors(sent, k, mean_length), "query long, floor double")
+        best = Window.partitionBy("query").orderBy(F.col("floor").desc())
+        kth = dict(map(tuple, floors.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("query", "floor").collect()))  # a row a query
+        sent = spark.sparkContext.broadcast((ids, asked, np.array([kth.get(q, 0.0) for q in ids.tolist()])))
+        blocks = spark.sparkContext.accumulator(np.zeros(2, np.int64), _Sum())
+        hits = shards.select("shard").mapInArrow(_searched(sent, k, mean_length, blocks), "query long, doc long, score double")
         best = Window.partitionBy("query").orderBy(F.col("score").desc(), "doc")
         parts.append(written(hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "hits"))
+        if pruning is not None:
+            pruning.scored, pruning.there = pruning.scored + int(blocks.value[0]), pruning.there + int(blocks.value[1])
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
     both = reduce(DataFrame.unionByName, parts)

@@ -1,31 +1,37 @@
 """A shard of an inverted index with block maxima, and pruned BM25 search over it.
 
-Documents of a shard are numbered; BLOCK neighbouring numbers are a block. Each
-term's postings (document, frequency) are sorted by document, and for every block
-the term occurs in, the index holds the largest frequency part of a score in it.
-
-Search is block-max WAND over documents in blocks: the sum of the query terms'
-maxima in a block bounds every score in it, and blocks whose bound can't reach
-the k-th best score so far, here or in a shard searched before, aren't scored.
-Where few blocks are left they are scored posting by posting. Where most are, as
-when queries are whole documents, the block's scores come from a matrix product
-over the shard's most frequent terms, for several queries at once, plus the
-postings of the rarer terms. Either way these scores only choose candidates,
-with a margin for rounding; the candidates' scores are then summed exactly, so
-that they don't depend on shards, blocks or the way taken, and ties are ties.
+A shard numbers its documents so that like ones are neighbours: by their most
+frequent term, which mostly tells the language, and then by length. BLOCK
+neighbouring numbers are a block, and for each term and block the index knows the
+largest frequency part of a score in it.
+
+Search is block-max WAND with blocks cut by document number. The sum of the query
+terms' maxima in a block bounds every score in it; from pivot to pivot, that is
+from one block whose bound reaches the threshold to the next, everything between
+is skipped unread. This holds for queries of any length, and many queries are
+asked together: their bounds are one matrix product, and so are the scores of the
+queries for which a block is a pivot. Terms of few documents have no maxima: their
+postings are summed first, exactly, and a block's bound takes the largest such sum.
+
+The threshold of a query is a score that k documents, of all shards, are known to
+reach: ``floors`` finds it from each shard's blocks of highest bound, and ``search``
+raises it from shard to shard. Scores from products only choose candidates, with a
+margin for rounding; the candidates' scores are summed exactly, so that they don't
+depend on shards or blocks, and ties are ties.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
-BLOCK = 64
-#: Terms of a shard in the matrix, at most; queries of more terms than LONG_QUERY
-#: go to it unseen; queries multiplied at once; relative room for rounding.
-FREQUENT, LONG_QUERY, TOGETHER, MARGIN = 768, 64, 64, 1e-4
+BLOCK = 32
+#: Terms of a shard with block maxima, at most; queries asked together; blocks that
+#: give a query its first threshold; relative room for rounding.
+FREQUENT, TOGETHER, FIRST, MARGIN = 768, 256, 8, 1e-4
 K1, B = 1.2, 0.75
 
 
@@ -34,6 +40,40 @@ def frequency_part(tf: np.ndarray, length: np.ndarray, mean_length: float) -> np
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean_length, 1e-9)))
 
 
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges low..high one after another, and how many each has."""
+    n = high - low
+    return np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()), n
+
+
+@dataclass
+class Queries:
+    """Queries' terms one after another with their weights; ``ends`` has where each query starts, and the end."""
+
+    ends: np.ndarray
+    terms: np.ndarray
+    weights: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def groups(self) -> Iterator[tuple[int, int]]:
+        for first in range(0, len(self), TOGETHER):
+            yield first, min(first + TOGETHER, len(self))
+
+
+@dataclass
+class _Asked:
+    """Some queries as a shard sees them."""
+
+    wanted: np.ndarray  # query x frequent term: weights
+    rare: np.ndarray  # query x document: summed scores of the other terms
+    bounds: np.ndarray  # query x block
+    at: np.ndarray  # the shard's terms the queries have, by query
+    weights: np.ndarray
+    ends: np.ndarray
+
+
 @dataclass
 class Shard:
     ids: np.ndarray  # document ids, by number
@@ -42,161 +82,130 @@ class Shard:
     starts: np.ndarray  # where each term's postings start; one more at the end
     docs: np.ndarray  # numbers, by term and then number
     tfs: np.ndarray
-    lows: np.ndarray | None = None  # made by ready(): first entry of each term in the block tables
-    blocks: np.ndarray | None = None
-    heads: np.ndarray | None = None
-    maxima: np.ndarray | None = None
-    parts: np.ndarray | None = None
-    row: np.ndarray | None = None
-    dense: np.ndarray | None = None
-    forward: np.ndarray | None = None
+    parts: np.ndarray | None = None  # made by ready()
+    row: np.ndarray | None = None  # a term's row among the frequent ones, or -1
+    dense: np.ndarray | None = None  # block x frequent term x place: frequency parts
+    maxima: np.ndarray | None = None  # frequent term x block
+    forward: np.ndarray | None = None  # postings by document, terms in order
     own: np.ndarray | None = None
     term: np.ndarray | None = None
+    scored: int = 0  # blocks scored and blocks there were, over all queries
+    there: int = 0
 
     @staticmethod
     def build(ids: list[int], counted: list[tuple[np.ndarray, np.ndarray]]) -> Shard:
         """counted: for each document its distinct terms and their frequencies."""
+        lengths = np.array([int(f.sum()) for _, f in counted], np.int64)
+        most = np.array([t[np.argmax(f)] if len(t) else 0 for t, f in counted], np.uint64)
+        order = np.lexsort((lengths, most))
+        counted = [counted[i] for i in order]
         sizes = np.array([len(t) for t, _ in counted], np.int64)
         flat = np.concatenate([t for t, _ in counted]) if len(counted) else np.empty(0, np.uint64)
         tfs = np.concatenate([f for _, f in counted]) if len(counted) else np.empty(0, np.int64)
         docs = np.repeat(np.arange(len(counted), dtype=np.int32), sizes)
-        order = np.argsort(flat, kind="stable")
-        terms, first = np.unique(flat[order], return_index=True)
+        by_term = np.argsort(flat, kind="stable")
+        terms, first = np.unique(flat[by_term], return_index=True)
         starts = np.append(first, len(flat)).astype(np.int64)
-        lengths = np.array([int(f.sum()) for _, f in counted], np.int64)
-        return Shard(np.array(ids, np.int64), lengths, terms, starts, docs[order], tfs[order].astype(np.uint32))
+        return Shard(np.array(ids, np.int64)[order], lengths[order], terms, starts, docs[by_term], tfs[by_term].astype(np.uint32))
 
     def document_frequencies(self) -> np.ndarray:
         return np.diff(self.starts)
 
     def ready(self, mean_length: float) -> Shard:
-        """Make the block tables and the frequent terms' matrix, for the mean length over all shards."""
-        if not len(self.terms):
-            return self
+        """Make the block maxima and what scores blocks, for the mean length over all shards."""
+        n, df = len(self.ids), np.diff(self.starts)
         self.parts = frequency_part(self.tfs.astype(float), self.lengths[self.docs].astype(float), mean_length)
-        block = self.docs // BLOCK
-        df = np.diff(self.starts)
-        term = np.repeat(np.arange(len(self.terms), dtype=np.int32), df)
-        new = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (term[1:] != term[:-1])]))
-        self.heads = np.append(new, len(block))
-        self.blocks = block[new]
-        self.maxima = np.maximum.reduceat(self.parts, new)
-        self.lows = np.searchsorted(term[new], np.arange(len(self.terms) + 1))
         frequent = np.argsort(-df, kind="stable")[:FREQUENT]
-        frequent = frequent[df[frequent] >= len(self.ids) / 64]
+        frequent = frequent[df[frequent] >= n / 64]
         self.row = np.full(len(self.terms), -1)
         self.row[frequent] = np.arange(len(frequent))
-        self.dense = np.zeros((len(frequent), len(self.ids)), np.float32)
+        self.dense = np.zeros((-(-n // BLOCK), len(frequent), BLOCK), np.float32)
         for row, t in enumerate(frequent.tolist()):
             own = slice(self.starts[t], self.starts[t + 1])
-            self.dense[row, self.docs[own]] = self.parts[own]
-        self.forward = np.argsort(self.docs, kind="stable").astype(np.int32)  # postings by document, terms in order
-        self.own = np.concatenate([[0], np.cumsum(np.bincount(self.docs, minlength=len(self.ids)))])
-        self.term = term
+            self.dense[self.docs[own] // BLOCK, row, self.docs[own] % BLOCK] = self.parts[own]
+        self.maxima = np.ascontiguousarray(self.dense.max(2, initial=0).T)
+        self.forward = np.argsort(self.docs, kind="stable").astype(np.int32)
+        self.own = np.concatenate([[0], np.cumsum(np.bincount(self.docs, minlength=n))])
+        self.term = np.repeat(np.arange(len(self.terms), dtype=np.int32), df)
         return self
 
-    def _exact(self, at: np.ndarray, weights: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-        """Correctly rounded scores of documents; ``at`` is sorted."""
+    def _asked(self, queries: Queries, first: int, last: int) -> _Asked:
+        low, high = queries.ends[first], queries.ends[last]
+        terms, size = queries.terms[low:high], last - first
+        who = np.repeat(np.arange(size), np.diff(queries.ends[first : last + 1]))
+        at = np.searchsorted(self.terms, terms)
+        at[at == len(self.terms)] = 0
+        here = self.terms[at] == terms
+        at, who, weights = at[here], who[here], queries.weights[low:high][here]
+        frequent = self.row[at] >= 0
+        wanted = np.zeros((size, self.dense.shape[1]), np.float32)
+        wanted[who[frequent], self.row[at[frequent]]] = weights[frequent]
+        other = ~frequent
+        posting, n = _ranges(self.starts[at[other]], self.starts[at[other] + 1])
+        padded = len(self.dense) * BLOCK
+        place = np.repeat(who[other] * padded, n) + self.docs[posting]
+        rare = np.bincount(place, self.parts[posting] * np.repeat(weights[other], n), minlength=size * padded)
+        rare = rare.astype(np.float32).reshape(size, padded)
+        bounds = (wanted @ self.maxima + rare.reshape(size, -1, BLOCK).max(2, initial=0)) * np.float32(1 + MARGIN)
+        return _Asked(wanted, rare, bounds, at, weights, np.searchsorted(who, np.arange(size + 1)))
+
+    def _scores(self, asked: _Asked, pivots: np.ndarray) -> np.ndarray:
+        """query x document: scores up to rounding in the blocks of ``pivots`` (query x block), and 0 elsewhere."""
+        out = np.zeros_like(asked.rare)
+        for block in np.flatnonzero(pivots.any(0)).tolist():
+            who = np.flatnonzero(pivots[:, block])
+            places = slice(block * BLOCK, (block + 1) * BLOCK)
+            out[who, places] = asked.wanted[who] @ self.dense[block] + asked.rare[who, places]
+        return out
+
+    def _exact(self, weight: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Correctly rounded scores of documents. weight: of every term of the shard, 0 for those not asked for."""
         out = np.zeros(len(numbers))
         for i, number in enumerate(numbers.tolist()):
             postings = self.forward[self.own[number] : self.own[number + 1]]
-            terms = self.term[postings]
-            place = np.searchsorted(at, terms)
-            place[place == len(at)] = 0
-            hit = at[place] == terms
-            out[i] = math.fsum((self.parts[postings[hit]] * weights[place[hit]]).tolist())
+            terms = weight[self.term[postings]]
+            hit = terms > 0
+            out[i] = math.fsum((self.parts[postings[hit]] * terms[hit]).tolist())
         return out
 
-    def _ranges(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = high - low
-        return np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()), n
-
-    def _best(self, approximate: np.ndarray, numbers: np.ndarray, at, weights, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        floor = max(least, np.partition(approximate, -k)[-k] if len(approximate) >= k else 0.0)
-        some = (approximate >= floor * (1 - MARGIN)) & (approximate > 0)
-        numbers = numbers[some]
-        scores = self._exact(at, weights, numbers)
-        ids = self.ids[numbers]
-        top = np.lexsort((ids, -scores))[:k]
-        return ids[top], scores[top]
-
-    def _by_blocks(self, at, weights, bounds, block, entry, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Blocks by falling bound, until the bound can't reach the k-th score."""
-        weight = np.repeat(weights, self.lows[at + 1] - self.lows[at])
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        by_block = np.argsort(block, kind="stable")
-        edges = np.searchsorted(block[by_block], np.arange(len(bounds) + 1))
-        best_ids, best, taken, step = np.empty(0, np.int64), np.empty(0), 0, 4
-        while taken < len(order):
-            some = order[taken : taken + step]
-            some = some[bounds[some] >= least]
-            if not len(some):
-                break
-            taken, step = taken + step, min(2 * step, 64)
-            picked = np.concatenate([by_block[edges[b] : edges[b + 1]] for b in some])
-            e = entry[picked]
-            posting, size = self._ranges(self.heads[e], self.heads[e + 1])
-            doc = self.docs[posting]
-            slot = np.full(len(bounds), -1)
-            slot[some] = np.arange(len(some))
-            gained = np.bincount(slot[doc // BLOCK] * BLOCK + doc % BLOCK, self.parts[posting] * np.repeat(weight[picked], size), minlength=len(some) * BLOCK)
-            hit = np.flatnonzero(gained > 0)
-            ids, scores = self._best(gained[hit], some[hit // BLOCK] * BLOCK + hit % BLOCK, at, weights, k, least)
-            best_ids, best = np.append(best_ids, ids), np.append(best, scores)
-            top = np.lexsort((best_ids, -best))[:k]
-            best_ids, best = best_ids[top], best[top]
-            if len(best) == k:
-                least = max(least, best[-1])
-        return best_ids, best
-
-    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, least: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query (terms, weights): the k best (ids, scores) with a query term, best first, then least id.
-
-        least: for each query a score that k documents of other shards reach;
-        lower ones may be left out.
+    def floors(self, queries: Queries, k: int) -> np.ndarray:
+        """query x k: scores that documents of each query's FIRST blocks of highest bound reach, best first."""
+        out = np.zeros((len(queries), k))
+        if not len(self.terms):
+            return out
+        for first, last in queries.groups():
+            asked = self._asked(queries, first, last)
+            pivots = np.zeros(asked.bounds.shape, bool)
+            highest = np.argsort(-asked.bounds, axis=1, kind="stable")[:, :FIRST]
+            np.put_along_axis(pivots, highest, True, axis=1)
+            scores = -np.sort(-self._scores(asked, pivots), axis=1)[:, :k] * (1 - MARGIN)
+            out[first:last, : scores.shape[1]] = scores
+        return out
+
+    def search(self, queries: Queries, k: int, least: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the k best (ids, scores) with a query term, best first, then least id.
+
+        least: for each query a score that k documents of any shards reach; lower
+        ones may be left out. A query's terms are sorted.
         """
         out: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(queries)
         if not len(self.terms):
             return out
-        whole, found = [], {}
-        for q, (terms, weights) in enumerate(queries):
-            order = np.argsort(terms)
-            terms, weights = terms[order], weights[order]
-            at = np.searchsorted(self.terms, terms)
-            at[at == len(self.terms)] = 0
-            here = self.terms[at] == terms
-            at, weights = at[here], weights[here]
-            if not len(at):
-                continue
-            found[q] = (at, weights)
-            if len(at) > LONG_QUERY:
-                # a bound for the whole shard: no block can exceed it, and long queries' blocks rarely fall below
-                whole.append(q)
-                continue
-            entry, n = self._ranges(self.lows[at], self.lows[at + 1])
-            block = self.blocks[entry]
-            # bounds get a hair's breadth for sums taken in another order
-            bounds = np.bincount(block, self.maxima[entry] * np.repeat(weights, n), minlength=-(-len(self.ids) // BLOCK)) * (1 + 1e-9)
-            if np.count_nonzero(bounds >= max(least[q], 1e-300)) * 4 > 3 * len(bounds) and len(at) > LONG_QUERY // 4:
-                whole.append(q)
-            else:
-                out[q] = self._by_blocks(at, weights, bounds, block, entry, k, least[q])
-        everyone = np.arange(len(self.ids))
-        for i in range(0, len(whole), TOGETHER):
-            some = whole[i : i + TOGETHER]
-            asked = np.zeros((len(some), len(self.dense)), np.float32)
-            for j, q in enumerate(some):
-                at, weights = found[q]
-                held = self.row[at] >= 0
-                asked[j, self.row[at[held]]] = weights[held]
-            frequent = asked @ self.dense
-            for j, q in enumerate(some):
-                at, weights = found[q]
-                rare = self.row[at] < 0
-                posting, n = self._ranges(self.starts[at[rare]], self.starts[at[rare] + 1])
-                scores = frequent[j] + np.bincount(self.docs[posting], self.parts[posting] * np.repeat(weights[rare], n), minlength=len(self.ids))
-                out[q] = self._best(scores, everyone, at, weights, k, least[q])
+        for first, last in queries.groups():
+            asked = self._asked(queries, first, last)
+            pivots = (asked.bounds >= least[first:last, None]) & (asked.bounds > 0)
+            self.scored, self.there = self.scored + int(pivots.sum()), self.there + pivots.size
+            scores, weight = self._scores(asked, pivots), np.zeros(len(self.terms))
+            for q in np.flatnonzero(pivots.any(1)).tolist():
+                own = scores[q]
+                floor = max(least[first + q], np.partition(own, -k)[-k] if len(own) >= k else 0.0)
+                numbers = np.flatnonzero((own >= floor * (1 - MARGIN)) & (own > 0))
+                terms = slice(asked.ends[q], asked.ends[q + 1])
+                weight[asked.at[terms]] = asked.weights[terms]
+                exact = self._exact(weight, numbers)
+                weight[asked.at[terms]] = 0
+                top = np.lexsort((self.ids[numbers], -exact))[:k]
+                out[first + q] = self.ids[numbers[top]], exact[top]
         return out
 
     def to_bytes(self) -> bytes:

@@ -38,15 +38,16 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a scratch table in the shared folder and read it back.
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as a scratch table in the shared folder, in a folder for each value of ``by``, and read it back.
 
     This cuts the lineage: a lost executor costs the tasks it ran, not what came
     before. The folder goes when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/accretio-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    to = df.write.option("compression", "zstd")
+    (to.partitionBy(by) if by else to).parquet(path)
     if not _made:
         atexit.register(clear_scratch)
     _made.append((spark, path))

@@ -494,3 +494,16 @@ def test_search_counts_every_repeat(spark):
     for r in bm25.search(bm25.index(docs), spark.createDataFrame(queries, "query_id long, text string")).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((-round(r["score"], 9), r["doc_id"]))
     assert got == best_by_hand(rows, queries)
+
+
+def test_search_skips_blocks_for_long_queries(spark):
+    """Whole documents as queries: the bounds leave most blocks unread, and the result is that of all documents."""
+    docs = documents(spark, "/root/testdata/sf0.01").select("doc_id", "text")
+    queries = docs.where("doc_id % 100 = 0").select(docs.doc_id.alias("query_id"), "text")
+    pruning = bm25.Pruning()
+    got = defaultdict(list)
+    for r in bm25.search(bm25.index(docs), queries, 5, pruning).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["doc_id"])
+    want = best_by_hand([tuple(r) for r in docs.collect()], [tuple(r) for r in queries.collect()], 5)
+    assert got == {q: [d for _, d in best] for q, best in want.items()}
+    assert 0 < pruning.scored < 0.6 * pruning.there
