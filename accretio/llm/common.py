@@ -81,6 +81,17 @@ def id_or_null_id(column: str = "doc_id"):
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores put before it until no column of ``df`` is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def split_count(rows: int, each: int, least: int = 1, most: int = 1_000_000) -> int:
     """How many parts hold ``rows`` at about ``each`` a part."""
     return int(max(least, min(most, -(-rows // each))))

@@ -16,7 +16,7 @@ _FULL = 2**64 - 1
 
 def _print_of(h2: np.ndarray) -> np.ndarray:
     """16-bit fingerprints, never 0, as that marks an empty slot."""
-    return ((h2.view(np.uint64) >> np.uint64(48)).astype(np.uint16)) | np.uint16(1)
+    return np.maximum((h2.view(np.uint64) >> np.uint64(48)).astype(np.uint16), np.uint16(1))
 
 
 def _other(bucket, fingerprint, mask):
@@ -25,6 +25,8 @@ def _other(bucket, fingerprint, mask):
 
 
 class CuckooFilter:
+    """Buckets are taken from the low bits of the first number: keys that share those fill few of them."""
+
     def __init__(self, capacity: int = 1024):
         buckets = 1 << max(4, int(np.ceil(np.log2(max(1, capacity) / (0.85 * SLOTS)))))
         self.tables: list[np.ndarray] = [np.zeros((buckets, SLOTS), np.uint16)]

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 from hashlib import sha256
 
 import numpy as np
@@ -29,15 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_or_null_id, per_batch, split_count, table, written
+from .common import free_names, id_or_null_id, per_batch, split_count, table, written
 from .cuckoo import CuckooFilter
 
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Filters up to this many bytes in all are sent to every task; beyond it, lines
-#: go to the exact table without being filtered first, which gives the same rows.
-FILTER_BYTES = 48 << 20
-#: Repeated keys a shard is meant to hold.
-SHARD_KEYS = 50_000
+#: Repeated keys a shard is meant to hold, and held keys that are looked up in one place, about.
+SHARD_KEYS, TOGETHER = 50_000, 500_000
 
 
 def line_keys(text: str | None) -> list[bytes]:
@@ -77,7 +75,8 @@ def counted(held: DataFrame) -> DataFrame:
 
 
 def _shard(shards: int):
-    return F.pmod("h1", F.lit(shards)).cast("int")
+    """From the high bits: a filter's buckets come from the low ones."""
+    return F.pmod(F.shiftrightunsigned("h1", 40), F.lit(shards)).cast("int")
 
 
 @dataclass(frozen=True)
@@ -126,20 +125,36 @@ class LineIndex:
                 (f.insert if add else f.delete)(part["h1"].to_numpy(np.int64), part["h2"].to_numpy(np.int64))
             return pd.DataFrame({"shard": [int(key[0])], "filter": [f.to_bytes()]})
 
+        if now.count() > 2 * SHARD_KEYS * self.shards:
+            return LineIndex(held, counts, *_new_filters(counts, self.min_docs), self.min_docs)
         filters = self.filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(turned, "shard int, filter binary")
         return LineIndex(held, counts, written(filters, "filters"), self.shards, self.min_docs)
 
     def repeated(self, held: DataFrame) -> DataFrame:
-        """(doc, __drop): for each document that loses lines, the digests of their keys."""
-        spark = held.sparkSession
-        size = self.filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
-        maybe = held
-        if size <= FILTER_BYTES:
-            blobs = spark.sparkContext.broadcast({r["shard"]: r["filter"] for r in self.filters.toLocalIterator()})
-            maybe = held.mapInArrow(_probe(blobs, self.shards), held.schema)
-        exact = self.counts.where(F.col("refs") >= self.min_docs)
-        lost = maybe.join(exact, ["h1", "h2"]).where(F.col("doc") != F.col("keeper"))
-        return lost.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("__drop"))
+        """(doc, drop): for each document that loses lines, the digests of their keys.
+
+        A shard's filter, its exact counts and the held keys of the shard meet in
+        one task, in this order, and stream through it. A shard with very many
+        held keys, as that of a line found everywhere, is dealt over several tasks
+        by document, each with the filter and the counts.
+        """
+        exact = self.counts.where(F.col("refs") >= self.min_docs).withColumn("shard", _shard(self.shards))
+        rows = held.withColumn("shard", _shard(self.shards))
+        parts = rows.groupBy("shard").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
+        large = written(parts.where("parts > 1"), "large")  # TOGETHER rows at least for each, so they are few
+        part = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))
+        empty = {"h1": F.lit(0).cast("long"), "h2": F.lit(0).cast("long"), "doc": F.lit(0).cast("long"), "filter": F.lit(None).cast("binary")}
+
+        def joined(side: DataFrame, rank: int, part) -> DataFrame:
+            more = {c: empty[c] for c in empty if c not in side.columns}
+            placed = side.join(large, "shard", "left").withColumns(more)
+            return placed.select("shard", part.alias("part"), F.lit(rank).alias("rank"), *empty)
+
+        own = F.when(F.col("parts").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("doc"), F.col("parts")))
+        sides = joined(self.filters, 0, part).unionByName(joined(exact.withColumnRenamed("keeper", "doc"), 1, part)).unionByName(joined(rows, 2, own))
+        dealt = sides.repartition("shard", "part").sortWithinPartitions("shard", "part", "rank")
+        lost = dealt.mapInArrow(_settled, "h1 long, h2 long, doc long")
+        return lost.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
 
     def cleaned(self, docs: DataFrame, held: DataFrame | None = None) -> DataFrame:
         """``docs`` with lines dropped, and n_lines, n_dropped and kept_sha256.
@@ -149,10 +164,11 @@ class LineIndex:
         drops = self.repeated(held_keys(docs) if held is None else held)
         added = ["n_lines", "n_dropped", "kept_sha256"]
         kept = [c for c in docs.columns if c not in added]
-        rows = docs.select(*kept, id_or_null_id().alias("__doc")).join(drops.withColumnRenamed("doc", "__doc"), "__doc", "left")
-        rows = rows.select(*kept, "__drop")
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__drop"), "n_lines long", "n_dropped long", "kept_sha256 string"])
-        return rows.mapInArrow(per_batch(_cleaned), schema)
+        doc, drop = free_names(docs, "doc", "drop")
+        rows = docs.select(*kept, id_or_null_id().alias(doc)).join(drops.select(F.col("doc").alias(doc), F.col("drop").alias(drop)), doc, "left")
+        rows = rows.select(*kept, drop)
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != drop), "n_lines long", "n_dropped long", "kept_sha256 string"])
+        return rows.mapInArrow(per_batch(partial(_cleaned, drop=drop)), schema)
 
 
 def _new_filters(counts: DataFrame, min_docs: int) -> tuple[DataFrame, int]:
@@ -168,29 +184,46 @@ def _new_filters(counts: DataFrame, min_docs: int) -> tuple[DataFrame, int]:
     return written(filters, "filters"), shards
 
 
-def _probe(blobs, shards: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = {shard: CuckooFilter.from_bytes(b) for shard, b in blobs.value.items()}
-        for batch in batches:
-            h1, h2 = batch.column("h1").to_numpy(), batch.column("h2").to_numpy()
-            shard, keep = h1 % shards, np.zeros(len(h1), bool)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.flatnonzero(np.diff(shard[order])) + 1
-            for part in np.split(order, cuts):
-                if len(part) and (f := filters.get(int(shard[part[0]]))) is not None:
-                    keep[part] = f.contains(h1[part], h2[part])
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by shard and part: a filter, exact keys with their keepers, and held keys. Gives the held ones that go."""
+    at, known, keepers, f = None, {}, None, None
+    for batch in batches:
+        shard, part, rank, h1, h2, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "part", "rank", "h1", "h2", "doc"))
+        cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(part) != 0) | (np.diff(rank) != 0)) + 1
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            here = (shard[low], part[low])
+            if here != at:
+                at, f, known, keepers = here, None, [], None
+            if rank[low] == 0:
+                f = CuckooFilter.from_bytes(batch.column("filter")[low].as_py())
+                continue
+            one, two, own = (x[low:high].astype(np.int64) for x in (h1, h2, doc))
+            if rank[low] == 1:
+                known.append(np.stack([one, two, own]))
+                continue
+            if f is None or not known:
+                continue
+            if keepers is None:
+                keepers = np.concatenate(known, axis=1)
+                keepers = keepers[:, np.argsort(keepers[0], kind="stable")]
+            maybe = np.flatnonzero(f.contains(one, two))
+            # exact: the run of equal first numbers is nearly always one long
+            place, last = (np.searchsorted(keepers[0], one[maybe], side) for side in ("left", "right"))
+            keep = np.zeros(len(maybe), bool)
+            for step in range(int((last - place).max(initial=0))):
+                k = np.minimum(place + step, keepers.shape[1] - 1)
+                keep |= (place + step < last) & (keepers[1, k] == two[maybe]) & (keepers[2, k] != own[maybe])
             if keep.any():
-                yield batch.filter(pa.array(keep))
-
-    return run
+                gone = maybe[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(one[gone]), pa.array(two[gone]), pa.array(own[gone])], ["h1", "h2", "doc"])
 
 
-def _cleaned(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _cleaned(batch: pa.RecordBatch, drop: str) -> pa.RecordBatch:
     texts, n_lines, n_dropped, digests = [], [], [], []
-    for text, drop in zip(batch.column("text").to_pylist(), batch.column("__drop").to_pylist()):
+    for text, keys in zip(batch.column("text").to_pylist(), batch.column(drop).to_pylist()):
         text, before = text or "", 0
-        if drop:
-            lost = set(np.array([(d["h1"], d["h2"]) for d in drop], "<i8").view("V16").ravel().tolist())
+        if keys:
+            lost = set(np.array([(d["h1"], d["h2"]) for d in keys], "<i8").view("V16").ravel().tolist())
             lines = text.split("\n")
             before = len(lines)
             lines = [line for line, key in zip(lines, line_keys(text)) if key not in lost]
@@ -202,7 +235,7 @@ def _cleaned(batch: pa.RecordBatch) -> pa.RecordBatch:
         n_lines.append(before)
         texts.append(text)
         digests.append(sha256(text.encode()).hexdigest())
-    names = [n for n in batch.schema.names if n != "__drop"]
+    names = [n for n in batch.schema.names if n != drop]
     columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
     return pa.RecordBatch.from_arrays(
         [*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(digests)], [*names, "n_lines", "n_dropped", "kept_sha256"]

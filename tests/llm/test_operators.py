@@ -182,11 +182,27 @@ def test_lines(spark):
     assert set(line_dedup.deduplicated(awkward(spark)).columns) >= set(awkward(spark).columns)
 
 
-def test_lines_without_the_filter(spark, monkeypatch):
-    docs = awkward(spark).select("doc_id", "text")
-    with_filter = digest_rows(line_dedup.deduplicated(docs))
-    monkeypatch.setattr(line_dedup, "FILTER_BYTES", -1)
-    assert digest_rows(line_dedup.deduplicated(docs)) == with_filter
+def test_lines_of_large_shards(spark, monkeypatch):
+    """Shards dealt over many tasks, and shards put anew as the index grows, give the same rows."""
+    docs = documents(spark).select("doc_id", "text").union(awkward(spark).select("doc_id", "text"))
+    want = cleaned_by_hand([tuple(r) for r in docs.collect()])
+    monkeypatch.setattr(line_dedup, "TOGETHER", 20)
+    assert digest_rows(line_dedup.deduplicated(docs)) == want
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 1)
+    first = docs.where("doc_id % 9 = 0")
+    index = line_dedup.LineIndex.build(first)
+    grown = index.insert(docs)
+    assert grown.shards > index.shards
+    assert digest_rows(grown.cleaned(docs)) == want
+
+
+def test_cuckoo_filter_of_one_shard():
+    rng = np.random.default_rng(7)
+    h = rng.integers(-(2**63), 2**63 - 1, (400_000, 2), dtype=np.int64)
+    h = h[(h[:, 0].view(np.uint64) >> np.uint64(40)) % np.uint64(16) == 3][:20_000]
+    f = CuckooFilter(len(h))
+    f.insert(h[:, 0].copy(), h[:, 1].copy())
+    assert len(f.stash) < 5 and f.contains(h[:, 0].copy(), h[:, 1].copy()).all()
 
 
 def test_lines_insert_then_delete_is_as_never_inserted(spark):
