@@ -9,6 +9,10 @@ its rarest token and looked up slot by slot, so urls are never shuffled; of the
 rules whose tokens a url holds, the most confident decides, and allow if there
 is none.
 
+Tokens are one a slot: host labels beyond the fourth, path segments between the
+second and the last, and query keys after the first are no tokens. Without that
+bound a url of n parts gives 2 ** n token sets to mine.
+
 A null url, or one without ://, has an empty host and path, no tokens, and is
 allowed. Repeated rows are judged each. No labels give no mined rules.
 """
@@ -130,9 +134,10 @@ def judged(pages: DataFrame, rules: list[UrlRule] | None = None, labelled: DataF
         return rows.withColumns({f"__{slot}": token for slot, token in named.items()}).withColumn("__tokens", F.array_compact(F.array(*[F.col(f"__{s}") for s in SLOTS])))
 
     kept = [c for c in pages.columns if c not in added]
-    rows = parsed(pages.select(*kept, F.coalesce(F.col(url).cast("string"), F.lit("")).alias("__url")))
+    # the columns given travel as one, so that no name of theirs can clash
+    rows = parsed(pages.select(F.struct(*kept).alias("__row"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("__url")))
     text, verdict = stated(F.col("__host"), F.col("__path"), rules)
-    rows = rows.withColumns({"rule": text, "__stated": verdict})
+    rows = rows.withColumns({"__rule": text, "__stated": verdict})
     if labelled is None:
         known = rows.where(F.col("__stated").isNotNull()).select(F.col("__tokens").alias("items"), F.col("__stated").alias("label"))
     else:
@@ -145,10 +150,10 @@ def judged(pages: DataFrame, rules: list[UrlRule] | None = None, labelled: DataF
     fitting = F.filter(candidates, lambda r: F.forall(r["tokens"], lambda t: F.array_contains("__tokens", t)))
     best = F.when(F.col("__stated").isNull(), F.array_max(fitting))
     return rows.withColumn("__best", best).select(
-        *kept,
+        "__row.*",
         F.col("__host").alias("host"),
         F.col("__path").alias("path"),
-        "rule",
+        F.col("__rule").alias("rule"),
         F.coalesce("__stated", F.col("__best.verdict"), F.lit("allow")).alias("verdict"),
         F.col("__best.confidence").alias("confidence"),
     )
