@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bagminhash import Shingler, bands, overlap, signatures
-from .common import NULL_ID, per_batch, table, written
+from .common import NULL_ID, free_names, per_batch, table, written
 from .components import components
 
 SIMILARITY, WORDS = 0.8, 5
@@ -206,7 +206,7 @@ def _classed(docs: DataFrame, similarity: float) -> DataFrame:
     near = F.least("na", "nb") >= similarity * F.greatest("na", "nb")
     pairs = left.join(right, "h").where((F.col("a") < F.col("b")) & near).select("a", "b")
     big = members.where(F.col("g") > SMALL)
-    stars = big.where(F.pmod("h", F.lit(7)) == 0).select("node", F.explode(F.array("c1", "c2")).alias("c")).where(F.col("node") != F.col("c"))
+    stars = big.select("node", F.explode(F.array("c1", "c2")).alias("c")).where(F.col("node") != F.col("c"))
     pairs = pairs.unionByName(stars.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))).distinct()
 
     items = written(item_sets(docs, members.select("node").distinct()), "items")
@@ -243,11 +243,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each class: its least id, or one without an id if there is any."""
-    gone = _classed(docs, similarity).where(F.col("doc") != F.col("class")).select(F.col("doc").alias("__doc")).distinct()
-    kept = docs.withColumn("__doc", _doc()).join(gone, "__doc", "left_anti")
-    if kept.groupBy("__doc").count().where("count > 1").head(1):
-        kept = kept.dropDuplicates(["__doc"])
+    """``docs`` with one row of each class: its least id, or one without an id if there is any.
+
+    Of rows that share this id the one of the least text stays; a null text is least.
+    """
+    (doc,) = free_names(docs, "doc")
+    gone = _classed(docs, similarity).where(F.col("doc") != F.col("class")).select(F.col("doc").alias(doc)).distinct()
+    kept = docs.withColumn(doc, _doc()).join(gone, doc, "left_anti")
+    if kept.groupBy(doc).count().where("count > 1").head(1):
+        row = F.struct(*docs.columns)
+        kept = kept.groupBy(doc).agg(F.min_by(row, F.struct(F.col("text").cast("string"), F.to_json(row))).alias("row")).select("row.*")
     return kept.select(*docs.columns)
 
 

@@ -351,6 +351,14 @@ def test_near_duplicates(spark, monkeypatch, small):
     assert minhash_dedup.near_duplicates(empty(docs)).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    rng = random.Random(3)
+    rows = [(1, prose(rng, 50)), (1, prose(rng, 50)), (1, None), (2, prose(rng, 50))]
+    for order in (rows, rows[::-1]):
+        kept = minhash_dedup.deduplicated(spark.createDataFrame(order, "doc_id long, text string"))
+        assert {tuple(r) for r in kept.collect()} == {(1, None), rows[3]}
+
+
 def test_near_duplicates_without_ids(spark):
     """Rows without an id don't bring together what is like each of them, and only copies go."""
     rng = random.Random(12)
@@ -555,6 +563,25 @@ def test_learning_sees_through_copies(spark):
     assert len(pii.detected(wrong, model).first()["found"]) == 0
 
 
+# all: names ------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("name", ["op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"])
+def test_clashing_names(spark, learnt, name):
+    """Columns called as anything within an operator come back as they were."""
+    inner = "doc drop __doc __drop __words __windows __lines __sorted __marks words lines row __row __url __host __best __sub1 __by_tld turn node h n items c base found scale".split()
+    inner = [c for c in inner if not (name == "op9" and c in ("base", "found"))]
+    docs = spark.createDataFrame([(i, prose(random.Random(i // 2), 60) + "\nThis line is found in very many documents.", f"http://a{i}.com/x/{i}", *[f"{c}{i}" for c in inner]) for i in range(8)], f"doc_id long, text string, url string, {', '.join(f'`{c}` string' for c in inner)}")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    run = {
+        "op3": lambda: packing.packed(docs), "op4": lambda: line_dedup.deduplicated(docs), "op5": lambda: url_filters.judged(docs), "op6": lambda: quality_rules.judged(docs), "op7": lambda: tokens.encoded(docs),
+        "op8": lambda: minhash_dedup.deduplicated(docs), "op9": lambda: pii.detected(docs, learnt[1]), "op10": lambda: quality_classifier.scored(docs, labels),
+    }[name]
+    got = run()
+    rows = got.collect()
+    assert len(rows) == (4 if name == "op8" else 8)
+    if name not in ("op3", "op10"):
+        assert {(r["doc_id"], *[r[c] for c in inner]) for r in rows} <= {(i, *[f"{c}{i}" for c in inner]) for i in range(8)}
+
+
 # 10: classifier --------------------------------------------------------------------------------------------
 def test_classifier_on_held_out(spark):
     sf = "/root/testdata/sf0.01"
