@@ -24,14 +24,24 @@ def prefix_sum(rows: DataFrame, value: Column, out: str, by: list[str], order: s
     """``rows`` with the sum of ``value`` over each group's rows up to and with this one.
 
     Ranges of the order are summed each in its own task, then shifted by what
-    comes before: a row for each group and range.
+    comes before: a row for each group and range. Nulls in ``by`` are a group.
     """
     ranged = in_ranges(rows.withColumn("__v", value.cast("long")), order, "__part")
     own = Window.partitionBy("__part", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     sums = ranged.groupBy(*by, "__part").agg(F.sum("__v").alias("__t"))
     earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select(*by, "__part", F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__before"))
-    return ranged.withColumn("__own", F.sum("__v").over(own)).join(before, [*by, "__part"]).withColumn(out, F.col("__own") + F.col("__before")).drop("__v", "__own", "__before", "__part")
+    summed = _joined(ranged.withColumn("__own", F.sum("__v").over(own)), before, [*by, "__part"])
+    return summed.withColumn(out, F.col("__own") + F.col("__before")).drop("__v", "__own", "__before", "__part")
+
+
+def _joined(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with the columns of their group, where nulls are equal."""
+    theirs = groups.withColumnsRenamed({c: f"__of_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    return rows.join(theirs, same).drop(*[f"__of_{c}" for c in by])
 
 
 def _numbered(facts: DataFrame) -> DataFrame:
@@ -42,14 +52,14 @@ def every(facts: DataFrame, n: int) -> DataFrame:
     """Facts of each full window of n facts of a kind, with its number ``window``; what isn't full yet is left out."""
     rows = _numbered(facts).withColumn("window", F.floor((F.col("number") - 1) / n))
     counts = rows.groupBy("kind").agg(F.max("number").alias("all"))
-    return rows.join(counts, "kind").where((F.col("window") + 1) * n <= F.col("all")).drop("all")
+    return _joined(rows, counts, ["kind"]).where((F.col("window") + 1) * n <= F.col("all")).drop("all")
 
 
 def after(facts: DataFrame, n: int) -> DataFrame:
     """The facts of the one window that closes with a kind's n-th fact; none for kinds with fewer."""
     rows = _numbered(facts)
-    enough = rows.where(F.col("number") == n).select("kind")
-    return rows.where(F.col("number") <= n).join(enough, "kind", "left_semi").withColumn("window", F.lit(0).cast("long"))
+    enough = rows.where(F.col("number") == n).select("kind")  # one row a kind
+    return _joined(rows.where(F.col("number") <= n), enough, ["kind"]).withColumn("window", F.lit(0).cast("long"))
 
 
 def when(facts: DataFrame, closes: Column, by: list[str] = ()) -> DataFrame:
@@ -60,7 +70,7 @@ def when(facts: DataFrame, closes: Column, by: list[str] = ()) -> DataFrame:
     rows = prefix_sum(facts.withColumn("closes", F.coalesce(closes, F.lit(False))), F.col("closes").cast("long"), "__upto", list(by))
     rows = rows.withColumn("window", F.col("__upto") - F.col("closes").cast("long")).drop("__upto")
     ends = rows.groupBy(*by).agg(F.count_if("closes").alias("closed")) if by else rows.agg(F.count_if("closes").alias("closed"))
-    joined = rows.join(ends, list(by)) if by else rows.crossJoin(F.broadcast(ends))  # one row
+    joined = _joined(rows, ends, list(by)) if by else rows.crossJoin(F.broadcast(ends))  # one row
     return joined.withColumn("open", F.col("window") >= F.col("closed")).drop("closed")
 
 
@@ -69,7 +79,7 @@ def matches(payload: Column, wanted: dict[str, str]) -> Column:
     out = F.lit(True)
     for name, value in wanted.items():
         one = F.try_variant_get(F.try_parse_json(payload), f"$['{name}']", "variant")
-        out = out & F.coalesce((F.schema_of_variant(one) == "STRING") & (F.get_json_object(payload, f"$.{name}") == value), F.lit(False))
+        out = out & F.coalesce((F.schema_of_variant(one) == "STRING") & (F.get_json_object(payload, f"$['{name}']") == value), F.lit(False))
     return out
 
 

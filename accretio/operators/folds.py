@@ -8,7 +8,7 @@ memory: the last of something is a max_by, the last n a bounded rank.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field as default
 
 import pandas as pd
@@ -229,41 +229,71 @@ def top_n_exact(facts: DataFrame, fold: TopN, by: list[str] = ("kind",)) -> Data
     """As facts arrive: each replaces its key's entry, and what falls out of the n best is forgotten.
 
     What is forgotten depends on the order of arrival, so each group is one pass;
-    the pass holds n entries, whatever the group's size.
+    the pass streams and holds n entries, whatever the group's size.
     """
     names = list(by)
     rows = facts.withColumn("key", _key(facts, fold.key)).withColumn("by_value", _number(facts, fold.by)[0].cast("double"))
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"{n} {kinds[n]}" for n in names) + ", pos int, key string, by_value double"
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        held: dict[str, float] = {}
-        for k, v in part.sort_values("seq")[["key", "by_value"]].itertuples(index=False):
-            if k is None or v is None or v != v:
-                continue
-            held[k] = v
-            if len(held) > fold.n:
-                held = dict(sorted(held.items(), key=lambda x: -x[1] if fold.desc else x[1])[: fold.n])
-        best = sorted(held.items(), key=lambda x: -x[1] if fold.desc else x[1])
-        return pd.DataFrame([(*key, i + 1, k, v) for i, (k, v) in enumerate(best)], columns=[*names, "pos", "key", "by_value"])
+    def order(x: tuple[str, float]) -> float:
+        return -x[1] if fold.desc else x[1]
+
+    def step(held: dict[str, float], row: tuple) -> dict[str, float]:
+        key, value = row
+        if key is None or value is None or value != value:
+            return held
+        held[key] = value
+        return dict(sorted(held.items(), key=order)[: fold.n]) if len(held) > fold.n else held
+
+    def rows_of(held: dict[str, float]) -> list[tuple]:
+        return [(i + 1, k, v) for i, (k, v) in enumerate(sorted(held.items(), key=order))]
+
+    return _passed(rows, names, ["key", "by_value"], dict, step, rows_of, schema)
+
 
-    return rows.select(*names, "seq", "key", "by_value").groupBy(*names).applyInPandas(run, schema)
+def _passed(rows: DataFrame, by: list[str], fields: list[str], start: Callable, step: Callable, rows_of: Callable, schema: str) -> DataFrame:
+    """Each group in receipt order through ``step``, as one pass over sorted batches that holds one state.
+
+    A group ends where the next begins; nothing else of it is kept.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state, names = None, None, [x.strip().split(" ")[0] for x in schema.split(",")]
+        for batch in batches:
+            out = []
+            columns = [batch[c].astype(object).where(batch[c].notna(), None) for c in (*by, *fields)]
+            for row in zip(*columns):
+                group = row[: len(by)]
+                if now is None or group != now:
+                    out += [(*now, *r) for r in rows_of(state)] if now is not None else []
+                    now, state = group, start()
+                state = step(state, row[len(by) :])
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if now is not None and (last := rows_of(state)):
+            yield pd.DataFrame([(*now, *r) for r in last], columns=names)
+
+    dealt = rows.select(*by, "seq", *fields).repartition(*by) if by else rows.select("seq", *fields).repartition(1)
+    return dealt.sortWithinPartitions(*by, "seq").mapInPandas(run, schema)
 
 
 def custom(facts: DataFrame, start: Callable[[], dict], step: Callable[[dict, dict], dict], by: list[str] = ("kind",)) -> DataFrame:
-    """Any (state, payload) -> state, each group in receipt order: (by, state as JSON)."""
+    """Any (state, payload) -> state, each group in receipt order: (by, state as JSON).
+
+    A group is one pass that streams; it holds the state alone.
+    """
     import json
 
     names = list(by)
     kinds = dict(facts.dtypes)
+    schema = ", ".join(f"{n} {kinds[n]}" for n in names) + ", state string"
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        state = start()
-        for payload, ts in part.sort_values("seq")[["payload", "ts"]].itertuples(index=False):
-            state = step(state, json.loads(payload) | {"_ts": ts})
-        return pd.DataFrame([(*key, json.dumps(state, sort_keys=True))], columns=[*names, "state"])
+    def stepped(state: dict, row: tuple) -> dict:
+        payload, ts = row
+        return step(state, json.loads(payload or "{}") | {"_ts": ts})
 
-    return facts.select(*names, "seq", "ts", "payload").groupBy(*names).applyInPandas(run, ", ".join(f"{n} {kinds[n]}" for n in names) + ", state string")
+    return _passed(facts, names, ["payload", "ts"], start, stepped, lambda state: [(json.dumps(state, sort_keys=True),)], schema)
 
 
 def merged(checkpoint: DataFrame, suffix: DataFrame, spec: Spec, by: list[str] = ("kind",)) -> DataFrame:

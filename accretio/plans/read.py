@@ -85,8 +85,12 @@ def items(facts: DataFrame, specs: dict[str, Spec]) -> DataFrame:
 
 
 def fold(facts: DataFrame, vertex: Vertex, at: int | None = None, as_of: float | None = None, observer: str | None = None, kind: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(items, scalars, unfolded): the state of a vertex at a cursor, and the kinds it doesn't fold."""
+    """(items, scalars, unfolded): the state of a vertex at a cursor, and the kinds it doesn't fold.
+
+    ``kind`` narrows what is folded; a kind is unfolded only if none of the declaration folds it.
+    """
     rows = cut(facts, at, as_of, observer)
-    specs = {k: s for k, s in vertex.specs().items() if kind in (None, k)}
-    declared = rows.sparkSession.sql("SELECT explode(array(" + ", ".join(f"'{k}'" for k in specs) + ")) AS kind")
+    every = vertex.specs()
+    specs = {k: s for k, s in every.items() if kind in (None, k)}
+    declared = rows.sparkSession.createDataFrame([(k,) for k in every], "kind string")
     return items(rows, specs), scalars(rows, specs), reads.unfolded_kinds(rows, declared)

@@ -294,11 +294,11 @@ def timeline(spark: SparkSession, d: str) -> DataFrame:
     return reads.timeline(facts(spark, d), _ticks(spark, d), 200)
 
 
-@R.query("""WITH m AS (SELECT seq AS mark, ts + 0.5 AS mts FROM {FACTS} f WHERE seq % 31 = 0), t AS (SELECT * FROM """ + TICKS + """ t)
+@R.query("""WITH m AS (SELECT seq AS mark, ts + 0.5 AS mts FROM {FACTS} f), t AS (SELECT * FROM """ + TICKS + """ t)
 SELECT m.mark, m.mts AS mark_ts, t.tick_seq, t.name, t.ts AS tick_ts FROM m ASOF LEFT JOIN t ON m.mts >= t.ts""")
 def tick_asof_floor(spark: SparkSession, d: str) -> DataFrame:
     rows = facts(spark, d)
-    marks = rows.where(F.col("seq") % 31 == 0).select(F.col("seq").alias("mark"), (F.col("ts") + 0.5).alias("ts"))
+    marks = rows.select(F.col("seq").alias("mark"), (F.col("ts") + 0.5).alias("ts"))
     return reads.tick_floor(rows, _ticks(spark, d), marks)
 
 

@@ -76,7 +76,7 @@ def facts(records: DataFrame) -> DataFrame:
     good = records.where((F.col("type") == "fact") & F.col("problem").isNull())
     v = F.from_json("text", "id string, kind string, ts double, observer string, origin string, payload string, signature string")
     # the payload's own text stays as it is where it is a text; objects are written again
-    return good.select((F.col("line") * 100_000 + F.col("place")).alias("seq"), v.alias("v")).select("seq", "v.*")
+    return with_receipt(good.select("line", "place", v.alias("v")), ["line", "place"]).select("seq", "v.*")
 
 
 def ticks(records: DataFrame) -> DataFrame:
@@ -98,9 +98,37 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fact_lines(rows: DataFrame) -> DataFrame:
-    """Facts as lines of the log."""
-    members = [F.lit("fact").alias("t"), "id", "kind", "ts", "observer", "origin", "payload"]
-    return rows.select(F.to_json(F.struct(*members)).alias("value"))
+    """Facts as lines of the log; a signature is written where there is one."""
+    return rows.select(_line(rows, "fact", FACT_MEMBERS, FACT_OPTIONAL).alias("value"))
+
+
+def tick_lines(rows: DataFrame) -> DataFrame:
+    """Ticks as lines of the log."""
+    return rows.select(_line(rows, "tick", TICK_MEMBERS, TICK_OPTIONAL).alias("value"))
+
+
+def batch_lines(rows: DataFrame, batch: str) -> DataFrame:
+    """A line for each value of the column ``batch``: its facts in receipt order, or the fact itself where it is alone.
+
+    A batch was written at once, so its facts fit a line.
+    """
+    inner = F.sort_array(F.collect_list(F.struct("seq", _line(rows, "fact", FACT_MEMBERS, FACT_OPTIONAL).alias("line"))))
+    lines = rows.groupBy(batch).agg(F.transform(inner, lambda x: x["line"]).alias("lines"))
+    whole = F.concat(F.lit('{"t":"batch","rows":['), F.array_join("lines", ","), F.lit("]}"))
+    return lines.select(F.when(F.size("lines") > 1, whole).otherwise(F.get("lines", F.lit(0))).alias("value"))
+
+
+def _line(rows: DataFrame, type_: str, must: tuple[str, ...], may: tuple[str, ...]) -> Column:
+    """A record with every member it must have, null or not, and of the others those that aren't null."""
+
+    def written(members: tuple[str, ...]) -> Column:
+        return F.to_json(F.struct(F.lit(type_).alias("t"), *[m for m in members if m != "t"]), {"ignoreNullFields": "false"})
+
+    more = [m for m in may if m in rows.columns]
+    line = written(must)
+    for name in more:
+        line = F.when(F.col(name).isNotNull(), written((*must, name))).otherwise(line)
+    return line
 
 
 def append(rows: DataFrame, path: str) -> None:

@@ -154,3 +154,16 @@ def test_cycles_and_walks(spark):
 def test_flat_population_is_all_mid(spark):
     items = spark.createDataFrame([(i, 3) for i in range(5)], "k int, salience int")
     assert {r["tier"] for r in surface.with_tiers(items).collect()} == {"mid"}
+
+
+def test_members_with_dots_match(spark):
+    rows = spark.createDataFrame([(1, '{"a.b":"x","a":{"b":"y"}}'), (2, '{"a":{"b":"x"}}')], "seq long, payload string")
+    assert [r["seq"] for r in rows.where(boundaries.matches(F.col("payload"), {"a.b": "x"})).collect()] == [1]
+
+
+def test_no_origin_is_a_group(spark):
+    rows = spark.createDataFrame([(i, "k", None if i % 2 else "o") for i in range(1, 9)], "seq long, kind string, origin string")
+    got = {(r["seq"], r["n"]) for r in boundaries.prefix_sum(rows, F.lit(1), "n", ["kind", "origin"]).collect()}
+    assert got == {(i, (i + 1) // 2) for i in range(1, 9)}
+    closed = boundaries.when(rows, F.col("seq") % 4 == 3, ["origin"])
+    assert {(r["seq"], r["window"]) for r in closed.where("origin is null").collect()} == {(1, 0), (3, 0), (5, 1), (7, 1)}

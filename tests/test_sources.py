@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from accretio.operators.parse import Coerce, Explode, Pick, Project, Skip, Split, Transform, check_flow, run
+from accretio.schemas import FACTS, TICKS
 from accretio.sources import ingress, records
 
 
@@ -74,3 +75,23 @@ def test_parameters_discovery_cadence(spark, tmp_path):
     assert ingress.due(facts, "k", "elapsed", 30, 45.0).first()["due"] and not ingress.due(facts, "k", "elapsed", 40, 45.0).first()["due"]
     assert ingress.due(facts, "k", "triggered", triggers=["go"]).first()["due"] and not ingress.due(facts, "k", "triggered", triggers=["other"]).first()["due"]
     assert ingress.due(facts, "none", "elapsed", 5, 1.0).first()["due"]
+
+
+def test_lines_keep_signatures_nulls_and_ticks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", "k", 1.5, "o", None, "{}", "sig"), (2, "b", "k", 2.0, "o", "", '{"x":1}', None)], FACTS)
+    records.fact_lines(rows.coalesce(1)).write.text(str(tmp_path / "log"))
+    again = records.checked(records.read_log(spark, str(tmp_path / "log")))
+    assert [r["problem"] for r in again.collect()] == [None, None]
+    assert [tuple(r) for r in records.facts(again).orderBy("seq").collect()] == [tuple(r) for r in rows.orderBy("seq").collect()]
+    ticks = spark.createDataFrame([(1, "t1", "n", 3.0, 1.0, "", "{}", None, "a", "b", None, None)], TICKS)
+    records.tick_lines(ticks).write.text(str(tmp_path / "ticks"))
+    read_again = records.ticks(records.checked(records.read_log(spark, str(tmp_path / "ticks"))))
+    assert [tuple(r)[1:] for r in read_again.collect()] == [tuple(r)[1:] for r in ticks.collect()]
+
+
+def test_a_batch_of_many_rows_keeps_receipts_apart(spark):
+    rows = ",".join(json.dumps({"t": "fact", "id": f"i{i}", "kind": "k", "ts": i, "observer": "o", "origin": "", "payload": {}}) for i in range(120_000))
+    lines = spark.createDataFrame([(1, f'{{"t":"batch","rows":[{rows}]}}'), (2, json.dumps({"t": "fact", "id": "last", "kind": "k", "ts": 1, "observer": "o", "origin": "", "payload": {}}))], "line long, value string")
+    got = records.facts(records.checked(lines))
+    assert got.selectExpr("count(distinct seq)").first()[0] == 120_001
+    assert got.orderBy("seq", ascending=False).first()["id"] == "last"
