@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import free_names, table
 
 #: Documents, about, and characters of each, on which costs are estimated, and how often each is judged for that.
-SAMPLE, SAMPLE_CHARS, REPEATS = 400, 20_000, 50
+SAMPLE, SAMPLE_CHARS, REPEATS = 400, 20_000, 5
 _SPACE = r"[\x20\x09-\x0D]+"
 _WS = " \t\n\x0b\x0c\r"
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
