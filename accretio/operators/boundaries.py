@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.values import rounded
 from ..schemas import in_ranges
 
-_OPS = {">=": operator.ge, "<=": operator.le, ">": operator.gt, "<": operator.lt, "==": operator.eq, "!=": operator.ne}
+OPS = {">=": operator.ge, "<=": operator.le, ">": operator.gt, "<": operator.lt, "==": operator.eq, "!=": operator.ne}
 
 
 def prefix_sum(rows: DataFrame, value: Column, out: str, by: list[str], order: str = "seq") -> DataFrame:
@@ -90,8 +90,8 @@ def compares(value: Column, op: str, target: float | str) -> Column:
     except ValueError:
         if op not in ("==", "!="):
             return F.lit(False)
-        return F.coalesce(_OPS[op](value.cast("string"), F.lit(target)), F.lit(False))
-    return F.coalesce(_OPS[op](value.cast("double"), F.lit(number)), F.lit(False))
+        return F.coalesce(OPS[op](value.cast("string"), F.lit(target)), F.lit(False))
+    return F.coalesce(OPS[op](value.cast("double"), F.lit(number)), F.lit(False))
 
 
 def snapshots(facts: DataFrame, closes: Column, kinds: DataFrame, amount: str) -> DataFrame:

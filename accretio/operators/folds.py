@@ -102,7 +102,7 @@ class Spec:
         return [f for f in self.folds if isinstance(f, SCALARS)]
 
 
-def _number(facts: DataFrame, name: str) -> tuple[Column, Column]:
+def numeric(facts: DataFrame, name: str) -> tuple[Column, Column]:
     """The numeric value, and whether it is to be counted as rejected."""
     if typed(facts, name):
         kind = dict(facts.dtypes)[name]
@@ -121,18 +121,18 @@ def scalar_columns(facts: DataFrame, fold: Fold) -> list[Column]:
         case Latest(target):
             return [F.max_by("ts", F.when(F.col("ts").isNotNull(), F.col("seq"))).alias(target), F.count_if(F.col("ts").isNull()).alias(f"{target}_rejected")]
         case Sum(target, name):
-            value, bad = _number(facts, name)
+            value, bad = numeric(facts, name)
             return [F.coalesce(F.sum(value), F.lit(0)).alias(target), F.count_if(bad).alias(f"{target}_rejected")]
         case Min(target, name, seed):
-            value, bad = _number(facts, name)
+            value, bad = numeric(facts, name)
             least = F.min(value) if seed is None else F.least(F.lit(seed), F.min(value))
             return [least.alias(target), F.count_if(bad).alias(f"{target}_rejected")]
         case Max(target, name, seed):
-            value, bad = _number(facts, name)
+            value, bad = numeric(facts, name)
             most = F.max(value) if seed is None else F.greatest(F.lit(seed), F.max(value))
             return [most.alias(target), F.count_if(bad).alias(f"{target}_rejected")]
         case Avg(target, name):
-            value, bad = _number(facts, name)
+            value, bad = numeric(facts, name)
             return [
                 F.coalesce(F.avg(value), F.lit(0.0)).alias(target),
                 F.coalesce(F.sum(value).cast("double"), F.lit(0.0)).alias(f"{target}_sum"),
@@ -153,7 +153,7 @@ def ordered_sum(facts: DataFrame, name: str, by: list[str] = ("kind",)) -> DataF
 
     For groups that fit a task; ``Sum`` is the one for the rest.
     """
-    value, _ = _number(facts, name)
+    value, _ = numeric(facts, name)
     rows = F.array_sort(F.collect_list(F.struct("seq", value.cast("double").alias("v"))))
     return facts.groupBy(*by).agg(F.aggregate(rows, F.lit(0.0), lambda a, x: a + F.coalesce(x["v"], F.lit(0.0))).alias("total"))
 
@@ -219,7 +219,7 @@ def upsert(facts: DataFrame, fold: Upsert, by: list[str] = ("kind",)) -> DataFra
 def top_n(facts: DataFrame, fold: TopN, by: list[str] = ("kind",)) -> DataFrame:
     """The n entities best by a field, for values that only improve: last by key, then a bounded rank."""
     order = F.col(fold.by).desc() if fold.desc else F.col(fold.by).asc()
-    rows = facts.withColumn("key", _key(facts, fold.key)).withColumn(fold.by, _number(facts, fold.by)[0])
+    rows = facts.withColumn("key", _key(facts, fold.key)).withColumn(fold.by, numeric(facts, fold.by)[0])
     last = rows.groupBy(*by, "key").agg(F.max_by(fold.by, "seq").alias(fold.by), F.min("seq").alias("first_seq"))
     ranked = last.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy(order, "first_seq")))
     return ranked.where(F.col("pos") <= fold.n)
@@ -232,7 +232,7 @@ def top_n_exact(facts: DataFrame, fold: TopN, by: list[str] = ("kind",)) -> Data
     the pass streams and holds n entries, whatever the group's size.
     """
     names = list(by)
-    rows = facts.withColumn("key", _key(facts, fold.key)).withColumn("by_value", _number(facts, fold.by)[0].cast("double"))
+    rows = facts.withColumn("key", _key(facts, fold.key)).withColumn("by_value", numeric(facts, fold.by)[0].cast("double"))
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"{n} {kinds[n]}" for n in names) + ", pos int, key string, by_value double"
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.folds import Avg, Collect, Count, Fold, Latest, Max, Min, Spec, Sum, Tail, Upsert
+from ..operators.parse import Coerce, Explode, Flatten, Pick, Project, Rename, Select, Skip, Split, Step, Transform, Where
 
 
 class DeclarationError(ValueError):
@@ -136,6 +137,7 @@ class Kind:
     preview: list[str] = field(default_factory=list)
     edges: dict[str, str] = field(default_factory=dict)
     lifecycle: tuple[str, list[str]] | None = None
+    parse: list[Step] = field(default_factory=list)
 
     def spec(self) -> Spec:
         return Spec(self.name, tuple(self.folds))
@@ -249,12 +251,75 @@ def _kind(node: Node) -> Kind:
             case "lifecycle":
                 k.lifecycle = (c.value(), [x.strip() for x in c.properties["active"].split(",")])
             case "parse":
-                pass
+                k.parse = [step for x in c.children for step in _steps(x)]
             case _:
                 raise DeclarationError(f"line {c.line}: {c.name} isn't known")
     return k
 
 
+def _steps(node: Node) -> list[Step]:
+    """The steps of one line of a parse block; a step that isn't known or lacks something is refused."""
+
+    def refuse(why: str) -> DeclarationError:
+        return DeclarationError(f"line {node.line}: {node.name} {why}")
+
+    texts, given = [str(x) for x in node.values], node.properties
+    if node.name == "split":
+        return [Split(texts[0] if texts else None, given.get("max"))]
+    if node.name == "project":
+        if not node.children or any("path" not in c.properties for c in node.children):
+            raise refuse("needs fields, each with a path")
+        return [Project({c.name: str(c.properties["path"]) for c in node.children})]
+    if node.name == "where":
+        if "path" not in given:
+            raise refuse("needs a path")
+        for op in ("equals", "not_equals"):
+            if op in given:
+                return [Where(given["path"], op, str(given[op]))]
+        listed = {"in": "in_", "not_in": "not_in"}.get(texts[0]) if texts else None
+        if listed and len(texts) < 2:
+            raise refuse("needs values")
+        return [Where(given["path"], listed, values=tuple(texts[1:]))] if listed else [Where(given["path"], "exists")]
+    if node.name == "explode":
+        path = given.get("path", texts[0] if texts else None)
+        if path is None:
+            raise refuse("needs a path")
+        carried = [x.strip().split(":") for x in given.get("carry", "").split(",") if x.strip()]
+        if any(len(set(x)) > 1 for x in carried):
+            raise refuse("can't carry a field under another name")
+        return [Explode(path, tuple(x[0] for x in carried))]
+    if node.name not in ("skip", "pick", "select", "transform", "flatten"):
+        raise refuse("isn't a step of a parse block")
+    if not texts:
+        raise refuse("needs a value")
+    if node.name == "skip":
+        return [Skip(startswith=texts[0][1:]) if texts[0].startswith("^") else Skip(contains=texts[0])]
+    if node.name == "select":
+        return [Select(tuple(texts))]
+    if node.name == "pick":
+        names = node.child("names")
+        picked = [Pick(tuple(int(x) for x in texts))]
+        return picked + [Rename({i: str(name) for i, name in enumerate(names.values)})] if names else picked
+    if node.name == "flatten":
+        taken = node.child("extract")
+        if "into" not in given or not taken or not taken.values:
+            raise refuse("needs into and extract")
+        return [Flatten(texts[0], given["into"], tuple(map(str, taken.values)))]
+    done = {c.name: [str(x) for x in c.values] for c in node.children}
+    unknown = done.keys() - {"strip", "lstrip", "rstrip", "replace", "coerce"}
+    if not done or unknown or len(done.get("replace", "ab")) != 2:
+        raise refuse("needs strip, lstrip, rstrip, coerce with a value, or replace with two")
+    out: list[Step] = []
+    if done.keys() - {"coerce"}:
+        trims = {name: done[name][0] for name in ("strip", "lstrip", "rstrip") if name in done}
+        out.append(Transform(texts[0], **trims, replace=tuple(done["replace"]) if "replace" in done else None))
+    if "coerce" in done:
+        if done["coerce"][0] not in ("int", "float", "bool", "str"):
+            raise refuse("coerces to int, float, bool or str")
+        out.append(Coerce({texts[0]: done["coerce"][0]}))
+    return out
+
+
 def problems_of(v: Vertex) -> list[str]:
     """Kinds need folds, reserved names are refused, boundaries don't collide."""
     out = [f"{k.name}: no fold" for k in v.kinds.values() if not k.folds]
@@ -284,7 +349,7 @@ def documents(v: Vertex) -> dict[tuple[str, str], str]:
     """A JSON document for each (section, subject)."""
     out = {("vertex", v.name): {"strict": v.strict, "routes": v.routes, "combine": v.combine, "discover": v.discover, "boundaries": [asdict(b) for b in v.boundaries]}}
     for k in v.kinds.values():
-        out["kind", k.name] = asdict(k) | {"folds": [[type(f).__name__, asdict(f)] for f in k.folds]}
+        out["kind", k.name] = asdict(k) | {name: [[type(x).__name__, asdict(x)] for x in getattr(k, name)] for name in ("folds", "parse")}
     for name, potential in v.observers.items():
         out["observer", name] = {"potential": potential}
     return {key: json.dumps(value, sort_keys=True) for key, value in out.items()}
@@ -293,6 +358,13 @@ def documents(v: Vertex) -> dict[tuple[str, str], str]:
 def from_documents(docs: dict[tuple[str, str], str]) -> Vertex:
     """The vertex that gives these documents."""
     makers = {c.__name__: c for c in (Avg, Collect, Count, Latest, Max, Min, Sum, Tail, Upsert)}
+    steps = {c.__name__: c for c in (Coerce, Explode, Flatten, Pick, Project, Rename, Select, Skip, Split, Transform, Where)}
+
+    def step(name: str, given: dict) -> Step:
+        """JSON has lists for tuples and text for numbers as names."""
+        fixed = {k: tuple(x) if isinstance(x, list) else x for k, x in given.items()}
+        return steps[name](**(fixed if name != "Rename" else {"names": {int(i): x for i, x in given["names"].items()}}))
+
     out = Vertex("")
 
     def boundary(b: dict | None) -> Boundary | None:
@@ -307,7 +379,7 @@ def from_documents(docs: dict[tuple[str, str], str]) -> Vertex:
             out.observers[subject] = d["potential"]
         else:
             life = d["lifecycle"] and (d["lifecycle"][0], d["lifecycle"][1])
-            out.kinds[subject] = Kind(subject, [makers[n](**f) for n, f in d["folds"]], boundary(d["boundary"]), d["search"], d["preview"], d["edges"], life)
+            out.kinds[subject] = Kind(subject, [makers[n](**f) for n, f in d["folds"]], boundary(d["boundary"]), d["search"], d["preview"], d["edges"], life, [step(n, x) for n, x in d.get("parse", [])])
     return out
 
 

@@ -461,3 +461,23 @@ def declared_documents(spark: SparkSession, d: str) -> DataFrame:
     kept = F.col("kind") == "click"
     payload = F.when(kept, F.to_json(F.struct(k.alias("subject"), seq.alias("document")))).otherwise(F.to_json(F.struct(k.alias("subject"))))
     return declarations.declared(f.withColumn("payload", payload).withColumn("kind", F.when(kept, F.lit("_decl.kind-defined")).otherwise(F.lit("_decl.kind-removed"))))
+
+
+@R.query("""SELECT kind, CAST(count(*) AS BIGINT) AS n, CAST(sum(cents) AS DOUBLE) AS total FROM {FACTS} f
+WHERE (kind = 'click' AND k % 10 <> 3) OR (kind = 'view' AND k IN (5, 7)) GROUP BY kind""")
+def parse_declared(spark: SparkSession, d: str) -> DataFrame:
+    """Folds of facts as their kinds' parse blocks make them; those of which nothing is left aren't folded."""
+    from ..operators import folds
+    from ..plans import declarations, ingest
+
+    v = declarations.vertex("""
+    name "v"
+    loops {
+      click { parse { select "at" "price"; transform "price" { rstrip " EUR"; coerce "int" } }; fold { n "inc"; total "sum" "price" } }
+      view { parse { where path="at.k" "in" "5" "7"; project { price path="at.cents" } ; transform "price" { coerce "int" } }; fold { n "inc"; total "sum" "price" } }
+    }""")
+    f, k, cents = facts(spark, d), F.col("k").cast("string"), F.col("cents").cast("string")
+    price = F.when(F.col("k") % 10 == 3, F.lit("none")).otherwise(F.concat(cents, F.lit(" EUR")))
+    payload = F.concat(F.lit('{"price":"'), price, F.lit('","at":{"k":'), k, F.lit(',"cents":'), cents, F.lit("}}"))
+    rows = ingest.derived(f.select("seq", "kind", "ts", payload.alias("payload")), v)
+    return folds.scalars(rows.where(F.col("kind").isin("click", "view")), v.specs()["click"]).select("kind", "n", "total")

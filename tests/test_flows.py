@@ -10,6 +10,7 @@ from accretio.functions.hashing import canonical, canonical_number, ulid
 from accretio.functions.names import address, edge_addresses, is_reference, observer_matches, readings, routed
 from accretio.operators import boundaries, graph, reads, store_ops, surface
 from accretio.operators.folds import Count, Latest, Spec, Sum
+from accretio.plans import declarations, firing
 from accretio.streaming import live
 
 
@@ -167,3 +168,23 @@ def test_no_origin_is_a_group(spark):
     assert got == {(i, (i + 1) // 2) for i in range(1, 9)}
     closed = boundaries.when(rows, F.col("seq") % 4 == 3, ["origin"])
     assert {(r["seq"], r["window"]) for r in closed.where("origin is null").collect()} == {(1, 0), (3, 0), (5, 1), (7, 1)}
+
+
+def test_boundaries_of_a_vertex_as_one_log(spark):
+    text = '''name "v"
+    loops { a { fold { n "inc"; m "avg" "v"; t "latest" }; boundary when="b" { condition "n" ">=" 2; condition "m" "<" 5 } }
+            c { fold { n "inc" }; boundary every=2 } }
+    boundary when="c" s="x"'''
+    v = declarations.vertex(text)
+    rows = facts(spark, [(1, "a", 1, {"v": 1}), (2, "b", 2, {}), (3, "a", 3, {"v": 2}), (4, "b", 4, {}), (5, "b", 5, {}), (6, "c", 6, {"s": "x"}), (7, "c", 7, {"s": "x"}), (8, "c", 8, {"s": 1})])
+    got = [(r["seq"], r["name"], r["rule"]) for r in firing.live(rows, v).orderBy("seq").collect()]
+    assert got == [(4, "a", "when"), (6, "v", "vertex"), (7, "c", "count")]
+    due = lambda *a: sorted((r["seq"], r["name"]) for r in firing.pending(*a).collect())
+    assert due(rows, v) == [(2, "a"), (6, "v")]
+    ticks = spark.createDataFrame([(2, 2.0), (6, 6.0)], "seq long, ts double")
+    assert due(rows, v, ticks) == [(6, "v")] and due(rows, v, ticks.where("seq < 0")) == [(2, "a"), (6, "v")]
+    only = declarations.vertex('name "v"\nloops { a { fold { n "inc" } } }\nboundary when="c" s="x"')
+    assert due(rows, only, ticks) == [(7, "v")]
+    never = declarations.vertex('name "v"\nloops { z { fold { n "inc" }; boundary when="b" { condition "n" "==" 0 } } }')
+    assert due(rows, never) == [(2, "z")] and due(rows.where("false"), v) == []
+    assert firing.live(rows.where("false"), v).count() == 0

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from accretio.operators.folds import Collect, Count, Latest, Max, Sum, Tail, Upsert
 from accretio.plans import declarations as d
+from accretio.plans import ingest
 
 TEXT = """
 // a vertex
@@ -96,3 +99,29 @@ def test_scalars_in_text():
     n = d.load('a 1 2.5 #true #null word "t\\"x" k=3 { b }')[0]
     assert n.values == [1, 2.5, True, None, "word", 't"x'] and n.properties == {"k": 3} and n.children[0].name == "b"
     assert F is not None
+
+
+def test_parse_blocks_take_effect_or_are_refused(spark):
+    text = """
+    name "v"
+    loops {
+      a { parse { select "n" "pct" "x"; transform "pct" { strip "%"; coerce "int" } }; fold { n "inc" } }
+      b { parse { where path="t" "in" "u" "w"; project { name path="who.name"; t path="t" } }; fold { n "inc" } }
+      c { parse { split }; fold { n "inc" } }
+      d { parse { flatten "items" into="lines" { extract "s" } }; fold { n "inc" } }
+      e { fold { n "inc" } }
+    }
+    """
+    v = d.vertex(text)
+    docs = d.documents(v)
+    assert d.from_documents(docs).kinds["a"].parse == v.kinds["a"].parse
+    assert d.documents(d.from_documents(docs)) == docs
+    rows = [
+        (1, "a", '{"n":5,"pct":"40%","y":1}'), (2, "a", '{"pct":"none"}'), (3, "a", '{"y":1}'), (4, "b", '{"t":"u","who":{"name":"x"}}'), (5, "b", '{"t":"z"}'),
+        (6, "c", '{"s":"a b"}'), (7, "d", '{"items":[{"s":"p"},{"s":"q"}]}'), (8, "e", '{"k":1}'), (9, "a", None), (10, None, "{}"),
+    ]
+    got = {r["seq"]: r["payload"] and json.loads(r["payload"]) for r in ingest.derived(spark.createDataFrame(rows, "seq long, kind string, payload string"), v).collect()}
+    assert got == {1: {"n": 5, "pct": 40}, 4: {"name": "x", "t": "u"}, 7: {"items": [{"s": "p"}, {"s": "q"}], "lines": "p\nq"}, 8: {"k": 1}, 10: {}}
+    for bad in ("jump 1", "where equals=1", "project", 'transform "a"', 'transform "a" { coerce "date" }', "skip", 'flatten "a"', "explode", 'explode "a" carry="b:c"'):
+        with pytest.raises(d.DeclarationError):
+            d.vertex(f'name "v"\nloops {{ a {{ parse {{ {bad} }}; fold {{ n "inc" }} }} }}')
