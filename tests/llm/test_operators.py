@@ -266,6 +266,74 @@ def test_mined_rules_by_hand(spark):
     assert {r["page_id"]: r["verdict"] for r in got.collect()} == {1: "block", 2: "allow", 3: "allow"}
 
 
+def tokens_by_hand(url):
+    """(slot tokens, further tokens) of a url."""
+    host, path, _ = url_by_hand(url)
+    if not host:
+        return [], []
+    labels, parts = host.split(".")[::-1], [x for x in re.sub("[0-9]+", "#", path).split("/") if x]
+    query = url.split("?", 1)[1].split("#")[0].split("&") if "?" in url else [""]
+    keys = [q.split("=")[0] for q in query]
+    slots = {"scheme": url.split("://")[0].lower(), "tld": labels[0], "domain": ".".join(labels[1::-1]) if len(labels) > 1 else None,
+             "sub1": labels[2] if len(labels) > 2 else None, "sub2": labels[3] if len(labels) > 3 else None, "dir1": parts[0] if parts else None,
+             "dir2": parts[1] if len(parts) > 2 else None, "leaf": parts[-1] if len(parts) > 1 else None,
+             "ext": parts[-1].rsplit(".", 1)[1] if parts and "." in parts[-1] else None, "query": keys[0] or None}
+    more = [f"more-sub:{x}" for x in labels[4:]] + [f"more-dir:{x}" for x in parts[2:-1]] + [f"more-query:{x}" for x in keys[1:] if x]
+    return [f"{k}:{v}" for k, v in slots.items() if v is not None], sorted(set(more))
+
+
+def verdicts_by_hand(urls, labelled):
+    """Counts every token set, and lets the best rule that fits decide."""
+    sets, with_label, n = Counter(), Counter(), len(labelled)
+    for url, label in labelled:
+        slots, more = tokens_by_hand(url)
+        for take in range(1 << len(slots)):
+            some = [t for i, t in enumerate(slots) if take >> i & 1]
+            for one in [[], *[[x] for x in more]]:
+                if some or one:
+                    sets[tuple(sorted(some + one))] += 1
+                    with_label[tuple(sorted(some + one)), label] += 1
+    rules = [(c / sets[s], c / n, label, list(s)) for (s, label), c in with_label.items() if c >= url_filters.SUPPORT * n and c / sets[s] >= url_filters.CONFIDENCE]
+    out = []
+    for url in urls:
+        own = {t for side in tokens_by_hand(url) for t in side}
+        fits = [r for r in rules if own.issuperset(r[3])]
+        out.append((max(fits)[2], max(fits)[0]) if fits else ("allow", None))
+    return out
+
+
+def test_mined_rules_by_counting_all_sets(spark):
+    rng = random.Random(11)
+
+    def url():
+        host = ".".join([*rng.sample(["a", "b", "c", "d", "e"], rng.randint(0, 4)), rng.choice(["shop", "news"]), rng.choice(["net", "io"])])
+        path = "".join(f"/{rng.choice(['x', 'y', 'p1', 'p2', 'z.html'])}" for _ in range(rng.randint(0, 6)))
+        keys = "&".join(f"{rng.choice('quv')}={rng.randrange(9)}" for _ in range(rng.randint(0, 3)))
+        return f"http://{host}{path}" + (f"?{keys}" if keys else "")
+
+    def label(u):
+        slots, more = tokens_by_hand(u)
+        bad = "more-dir:y" in more and "tld:net" in slots or "more-sub:a" in more or "more-query:v" in more and rng.random() < 0.9 or "dir1:x" in slots and "sub1:c" in slots
+        return "block" if bad else "allow"
+
+    labelled = [(u, label(u)) for u in (url() for _ in range(400))]
+    urls = [url() for _ in range(150)] + ["http://a.b.c.d.e.news.io/q/w/y/y/e?q=1&v=2&v=3", "", "no url"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    got = {r["page_id"]: (r["verdict"], r["confidence"]) for r in url_filters.judged(pages, [], spark.createDataFrame(labelled, "url string, label string")).collect()}
+    assert [got[i] for i in range(len(urls))] == verdicts_by_hand(urls, labelled)
+    assert any(v == "block" for v, _ in got.values())
+
+
+def test_mined_rules_with_a_part_beyond_the_slots(spark):
+    """Only a fourth path segment, a sixth host label or a second key tells the label."""
+    def labelled(bad, good):
+        return spark.createDataFrame([(bad if i % 4 == 0 else good, "block" if i % 4 == 0 else "allow") for i in range(200)], "url string, label string")
+
+    for bad, good in (("http://x.net/a/b/c/ads/e/f", "http://x.net/a/b/c/d/e/f"), ("http://ads.a.b.c.x.net/", "http://d.a.b.c.x.net/"), ("http://x.net/?a=1&ads=2", "http://x.net/?a=1&b=2")):
+        pages = spark.createDataFrame([(1, bad), (2, good)], "page_id long, url string")
+        assert {r["page_id"]: r["verdict"] for r in url_filters.judged(pages, [], labelled(bad, good)).collect()} == {1: "block", 2: "allow"}
+
+
 # 6: quality rules -----------------------------------------------------------------------------
 def stats_by_hand(text):
     text = text or ""
@@ -593,6 +661,51 @@ def test_classifier_on_held_out(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows.values())
 
 
+def scores_by_hand(rows, labelled):
+    """rows: {id: vector}; labelled: [(id, label)]. Class covariances and log densities, plainly."""
+    c = quality_classifier
+    x, y = np.array([rows[d] for d, _ in labelled]), np.array([q for _, q in labelled])
+    centre, scale = x.mean(0), np.maximum(x.std(0), c.FLOOR)
+    z = (x - centre) / scale
+    own = [np.cov(z[y == k].T, bias=True) for k in (0, 1)]
+    common = sum((y == k).mean() * own[k] for k in (0, 1))
+    common = (1 - c.DIAGONAL) * common + c.DIAGONAL * np.diag(np.diag(common))
+    out = {}
+    for d, v in rows.items():
+        log = []
+        for k in (0, 1):
+            cov = (1 - c.SHRINK) * own[k] + c.SHRINK * common + c.FLOOR * np.eye(len(v))
+            gap = (np.array(v) - centre) / scale - z[y == k].mean(0)
+            log.append(-0.5 * gap @ np.linalg.solve(cov, gap) - 0.5 * np.linalg.slogdet(cov)[1] + np.log((y == k).mean()))
+        out[d] = 1 / (1 + np.exp(-np.clip(log[1] - log[0], -500, 500)))
+    return out
+
+
+def test_classifier_by_hand(spark):
+    docs, labels = documents(spark), spark.read.parquet(f"{SF}/labels.parquet")
+    rows = {d: quality_classifier.statistics(t or "") for d, t in docs.select("doc_id", "text").collect()}
+    known = [(d, q) for d, q in labels.select("doc_id", "quality").collect() if d in rows and q in (0, 1) and zlib.crc32(str(d).encode()) % 3 != 1]
+    want = scores_by_hand(rows, known)
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.scored(docs, labels).collect()}
+    assert got.keys() == want.keys() and max(abs(got[d] - want[d]) for d in want) < 1e-6
+
+
+def test_statistics_by_hand():
+    """Sizes and shares of a text, counted character by character."""
+    for text in ("", "Ab c1! ab\nAb c1! ab\n\n# x, y é日", " \n ", "a a a a a a"):
+        words, lines = re.findall(r"\S+", text), [x for x in text.split("\n") if x.strip()]
+        threes = list(zip(words, words[1:], words[2:]))
+        space, digit, upper = (sum(c in s for c in text) for s in (" \n", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+        got = dict(zip(quality_classifier.NAMES, quality_classifier.statistics(text)))
+        n, chars = len(words), max(len(text), 1)
+        want = {"words": n, "word_size": (chars - space) / max(n, 1), "line_size": chars / max(len(lines), 1)}
+        want |= {"distinct": 10 * len(set(words)) / max(n, 1), "again": 10 * (1 - len(set(threes)) / len(threes)) if threes else 0, "lines_again": 10 * (1 - len(set(lines)) / len(lines)) if lines else 0}
+        want |= {"digits": 10 * digit / chars, "spaces": 10 * space / max(n, 1), "bare": 0 if n else 10}
+        assert all(math.isclose(got[k], math.log1p(v), abs_tol=1e-12) for k, v in want.items()), text
+        letters = sum(c.isalpha() for c in text)
+        assert math.isclose(got["capitals"], math.log1p(10 * upper / max(letters, 1)), abs_tol=1e-12)
+
+
 def test_classifier_edges(spark):
     docs = awkward(spark)
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 0), (77, 0)], "doc_id long, quality int")
