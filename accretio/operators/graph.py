@@ -65,8 +65,9 @@ def census(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def walk(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(name, depth) of what is reached within so many steps, at its least depth; starts (name) at 0.
 
-    Each step joins the frontier only, and cuts its lineage.
+    Edges are made once; each step joins the frontier only, and cuts its lineage.
     """
+    edges = written(edges.select("src", "dst").distinct(), "walk")
     reached = starts.select("name").distinct().withColumn("depth", F.lit(0))
     frontier = reached.select("name")
     for step in range(1, depth + 1):

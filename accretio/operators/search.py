@@ -6,6 +6,7 @@ ordered by time, newest first; there is no ranking.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -46,31 +47,38 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def _found(low: Column, terms: list[str], prefix: bool = False) -> Column:
+    """Whether a lower-cased text has the terms as words that follow one another; the last
+    may be the beginning of a word. What is no run of letters and digits is no word, and
+    no terms are never found.
+
+    The plain test for each term passes over most texts that have none.
+    """
+    if not terms or not all(re.fullmatch(r"[^\W_]+", t) for t in terms):
+        return F.lit(False)
+    outside = r"[^\p{L}\p{N}]"
+    pattern = rf"(?:\A|{outside})" + f"{outside}++".join(terms) + ("" if prefix else rf"(?:\z|{outside})")
+    return reduce(Column.__and__, [F.contains(low, F.lit(t)) for t in terms]) & F.rlike(low, F.lit(pattern))
+
+
 def matches(text: Column, query) -> Column:
     """Whether a text satisfies a query, as one expression: for searches without an index."""
-    own = words(F.coalesce(text, F.lit("")))
 
-    def test(w: Column, q) -> Column:
+    def test(low: Column, q) -> Column:
         match q:
+            case Word("", True):
+                return F.rlike(low, F.lit(r"[\p{L}\p{N}]"))
             case Word(t, prefix):
-                low = F.lit(t.lower())
-                return F.exists(w, lambda x: F.startswith(x, low)) if prefix else F.array_contains(w, low)
+                return _found(low, [t.lower()], prefix)
             case Phrase(terms):
-                return F.contains(F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")), F.lit(" " + " ".join(terms).lower() + " "))
+                return _found(low, " ".join(terms).lower().split(" "))
             case And(parts):
-                out = F.lit(True)
-                for p in parts:
-                    out = out & (~test(w, p.part) if isinstance(p, Not) else test(w, p))
-                return out
+                return reduce(Column.__and__, [~test(low, p.part) if isinstance(p, Not) else test(low, p) for p in parts], F.lit(True))
             case Or(parts):
-                out = F.lit(False)
-                for p in parts:
-                    out = out | test(w, p)
-                return out
+                return reduce(Column.__or__, [test(low, p) for p in parts], F.lit(False))
         raise ValueError(f"no query: {q}")
 
-    # the words are made once a row: bound to a name by a one-element array
-    return F.exists(F.array(own), lambda w: test(w, query))
+    return test(F.lower(F.coalesce(text, F.lit(""))), query)
 
 
 def scan(facts: DataFrame, text: str, query, kinds: list[str] = (), limit: int | None = None, ident: str = "seq") -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
 from accretio.functions.hashing import canonical, canonical_number, ulid
 from accretio.functions.names import address, edge_addresses, is_reference, observer_matches, readings, routed
-from accretio.operators import boundaries, graph, reads, store_ops, surface
+from accretio.operators import boundaries, graph, reads, search, store_ops, surface
 from accretio.operators.folds import Count, Latest, Spec, Sum
 from accretio.plans import declarations, firing
 from accretio.streaming import live
@@ -188,3 +189,29 @@ def test_boundaries_of_a_vertex_as_one_log(spark):
     never = declarations.vertex('name "v"\nloops { z { fold { n "inc" }; boundary when="b" { condition "n" "==" 0 } } }')
     assert due(rows, never) == [(2, "z")] and due(rows.where("false"), v) == []
     assert firing.live(rows.where("false"), v).count() == 0
+
+
+def test_search_without_an_index_as_by_words(spark):
+    """Words are whole runs of letters and digits, whatever stands around them."""
+    texts = [None, "", "the", "The end", "other", "x_the_y", "the-end of the line", "the\n\nend", "thé end", "\U0001d400the end", "the\U0001d400", "end the", "a1 the2 end", "THE, END!", "the end end", "the the end"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "seq int, text string")
+    words = {i: re.findall(r"[^\W_]+", (t or "").lower()) for i, t in enumerate(texts)}
+
+    def holds(w, q):
+        match q:
+            case search.Word(t, prefix):
+                return any(x.startswith(t.lower()) if prefix else x == t.lower() for x in w)
+            case search.Phrase(terms):
+                return bool(terms) and f" {' '.join(terms).lower()} " in f" {' '.join(w)} "
+            case search.And(parts):
+                return all(holds(w, p) for p in parts)
+            case search.Or(parts):
+                return any(holds(w, p) for p in parts)
+            case search.Not(part):
+                return not holds(w, part)
+
+    W, P = search.Word, search.Phrase
+    for q in (W("the"), W("The", True), W("", True), W(""), W("x_the"), W("en", True), P(("the", "end")), P(("the end",)), P(("the", "-", "end")), P(()), P(("end",)),
+              search.And((W("end"), search.Not(P(("the", "end"))))), search.Or((W("thé"), W("a", True)))):
+        got = {r["seq"] for r in rows.where(search.matches(rows["text"], q)).collect()}
+        assert got == {i for i, w in words.items() if holds(w, q)}, q
